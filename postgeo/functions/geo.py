@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.pin import pin
 from .fixed import EARTH_A, EARTH_F, EARTH_MEAN
 
 # Grid levels for the cell joins. A query area uses the finest level on which it
@@ -29,29 +30,34 @@ def haversine_m(lat1, lng1, lat2, lng2) -> Column:
     return 2 * EARTH_MEAN * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
-def _reduced(lat) -> tuple[Column, Column]:
-    """sin and cos of the reduced latitude."""
-    s, c = F.sin(F.radians(lat)) * (1 - EARTH_F), F.cos(F.radians(lat))
-    n = F.sqrt(s * s + c * c)
-    return s / n, c / n
-
-
-def lambert_m(lat1, lng1, lat2, lng2) -> Column:
-    """Ellipsoidal distance by Lambert's closed formula, metres.
+def with_ellipsoid_m(df: DataFrame, name: str, lat1, lng1, lat2, lng2) -> DataFrame:
+    """Adds the ellipsoidal distance by Lambert's closed formula, metres.
 
     Written with sin/cos of the reduced latitudes so that the half-angle terms
     of the textbook form become plain products:
     sin P cos Q = (sin b1 + sin b2)/2 and cos P sin Q = (sin b2 - sin b1)/2.
+    The steps are pinned, so each is computed once per row.
     """
-    s1, c1 = _reduced(lat1)
-    s2, c2 = _reduced(lat2)
-    dl = F.sin(F.radians(lng2 - lng1) / 2)
+
+    def sine(lat):
+        return F.sin(F.atan(F.tan(F.radians(lat)) * (1 - EARTH_F)))
+
+    def cosine(lat):
+        return F.cos(F.atan(F.tan(F.radians(lat)) * (1 - EARTH_F)))
+
+    df = pin(df, _s1=sine(lat1), _c1=cosine(lat1), _s2=sine(lat2), _c2=cosine(lat2))
+    s1, c1, s2, c2 = (F.col(c) for c in ("_s1", "_c1", "_s2", "_c2"))
     # chord form of the haversine of the central angle, stable for near points
-    ds, dc = s2 - s1, c2 - c1
-    h = F.least(F.lit(1.0), (ds * ds + dc * dc) / 4 + c1 * c2 * dl * dl)
+    chord = (F.pow(s2 - s1, F.lit(2.0)) + F.pow(c2 - c1, F.lit(2.0))) / 4
+    side = c1 * c2 * F.pow(F.sin(F.radians(lng2 - lng1) / 2), F.lit(2.0))
+    df = pin(df, _h=F.least(F.lit(1.0), chord + side))
+    df = pin(df, **{name: _lambert(F.col("_h"), s1 + s2, s2 - s1)})
+    return df.drop("_s1", "_c1", "_s2", "_c2", "_h")
+
+
+def _lambert(h, sm, ds) -> Column:
     sigma = 2 * F.asin(F.sqrt(h))
     sin_sigma = 2 * F.sqrt(h * (1 - h))
-    sm = s1 + s2
     x = (sigma - sin_sigma) * sm * sm / (4 * (1 - h))
     y = (sigma + sin_sigma) * ds * ds / (4 * h)
     d = EARTH_A * (sigma - (EARTH_F / 2) * (x + y))

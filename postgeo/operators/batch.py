@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as X, geo
 from ..sources.schemas import JOB_RESULT
+from .pin import pin
 from .ranking import top_rows
 
 TESTED = ["lat", "lng", "wage_min", "wage_max", "category"]
@@ -119,6 +120,8 @@ def group_alike(jobs: DataFrame) -> DataFrame:
 
 def _with_cells(requests: DataFrame, boxes: Column) -> DataFrame:
     """One row per touched cell. ``boxes`` is an array of box structs on one level."""
+    requests = pin(requests, _boxes=boxes)
+    boxes = F.col("_boxes")
     cells = F.array_distinct(
         F.flatten(
             F.transform(
@@ -127,7 +130,7 @@ def _with_cells(requests: DataFrame, boxes: Column) -> DataFrame:
             )
         )
     )
-    return requests.select("*", boxes[0]["level"].alias("level"), F.explode(cells).alias("cell"))
+    return requests.select("*", boxes[0]["level"].alias("level"), F.explode(cells).alias("cell")).drop("_boxes")
 
 
 def _box(level, w, s, e, n) -> Column:
@@ -139,25 +142,34 @@ def _box(level, w, s, e, n) -> Column:
 def viewport_cells(viewports: DataFrame) -> DataFrame:
     w, s, e, n = (F.col(c) for c in ("min_lng", "min_lat", "max_lng", "max_lat"))
     # postings lie on the globe, so the part of a box outside of it needs no cells
-    cw, ce = F.least(F.greatest(w, F.lit(-180.0)), F.lit(180.0)), F.greatest(F.least(e, F.lit(180.0)), F.lit(-180.0))
-    cs, cn = F.least(F.greatest(s, F.lit(-90.0)), F.lit(90.0)), F.greatest(F.least(n, F.lit(90.0)), F.lit(-90.0))
-    return _with_cells(viewports, F.array(_box(geo.box_level(cw, cs, ce, cn), cw, cs, ce, cn)))
+    def clip(v, bound):
+        return F.greatest(F.least(v, F.lit(bound)), F.lit(-bound))
+
+    df = pin(viewports, _w=clip(w, 180.0), _s=clip(s, 90.0), _e=clip(e, 180.0), _n=clip(n, 90.0))
+    box = [F.col(c) for c in ("_w", "_s", "_e", "_n")]
+    return _with_cells(df, F.array(_box(geo.box_level(*box), *box))).drop("_w", "_s", "_e", "_n")
 
 
 def center_cells(centers: DataFrame) -> DataFrame:
     dlat, dlng = geo.circle_margins(F.col("lat"), F.col("radius_km"))
-    df = centers.withColumn("dlat", dlat).withColumn("dlng", dlng)
-    s = F.greatest(F.col("lat") - F.col("dlat"), F.lit(-90.0))
-    n = F.least(F.col("lat") + F.col("dlat"), F.lit(90.0))
-    w, e = F.col("lng") - F.col("dlng"), F.col("lng") + F.col("dlng")
-    level = geo.box_level(w, s, e, n)
+    df = pin(centers, dlat=dlat, dlng=dlng)
+    df = pin(
+        df,
+        _s=F.greatest(F.col("lat") - F.col("dlat"), F.lit(-90.0)),
+        _n=F.least(F.col("lat") + F.col("dlat"), F.lit(90.0)),
+        _w=F.col("lng") - F.col("dlng"),
+        _e=F.col("lng") + F.col("dlng"),
+    )
+    w, s, e, n = (F.col(c) for c in ("_w", "_s", "_e", "_n"))
+    df = pin(df, _level=geo.box_level(w, s, e, n))
+    level = F.col("_level")
     low, high = F.lit(-180.0), F.lit(180.0)
     boxes = F.concat(
         F.array(_box(level, F.greatest(w, low), s, F.least(e, high), n)),
         F.when(w < low, F.array(_box(level, w + 360.0, s, high, n))).otherwise(F.array().cast(BOXES)),
         F.when(e > high, F.array(_box(level, low, s, e - 360.0, n))).otherwise(F.array().cast(BOXES)),
     )
-    return _with_cells(df, boxes)
+    return _with_cells(df, boxes).drop("_w", "_s", "_e", "_n", "_level")
 
 
 BOXES = "array<struct<level: int, w: double, s: double, e: double, n: double>>"
@@ -210,9 +222,10 @@ def match_centers(jobs: DataFrame, centers: DataFrame, columns: list[str]) -> Da
     pairs = cell_join(jobs, center_cells(centers), columns)
     lat, lng, c_lat, c_lng = F.col("lat"), F.col("lng"), F.col("q_lat"), F.col("q_lng")
     near = (F.abs(lat - c_lat) <= F.col("q_dlat")) & geo.lng_near(lng, c_lng, F.col("q_dlng"))
+    close = geo.with_ellipsoid_m(pairs.where(near & _filters_hold()), "_m", lat, lng, c_lat, c_lng)
     return (
-        pairs.where(near & _filters_hold())
-        .where(geo.lambert_m(lat, lng, c_lat, c_lng) <= F.col("q_radius_km") * 1000.0)
+        close.where(F.col("_m") <= F.col("q_radius_km") * 1000.0)
+        .drop("_m")
         .withColumn("distance_km", geo.haversine_m(lat, lng, c_lat, c_lng) / 1000.0)
     )
 

@@ -75,8 +75,10 @@ def nearby(
     within = F.lit(False)
     for west, east in sides:
         within = within | ((jlng >= west) & (jlng <= east))
-    hits = filters.apply(jobs.where((jlat >= south) & (jlat <= north) & within)).where(
-        geo.lambert_m(jlat, jlng, c_lat, c_lng) <= radius_km * 1000.0)
+    boxed = filters.apply(jobs.where((jlat >= south) & (jlat <= north) & within))
+    hits = geo.with_ellipsoid_m(boxed, "_m", jlat, jlng, c_lat, c_lng).where(
+        F.col("_m") <= radius_km * 1000.0
+    )
     return (
         hits.withColumn("distance_km", geo.haversine_m(jlat, jlng, c_lat, c_lng) / 1000.0)
         .select(*JOB_RESULT, "distance_km")

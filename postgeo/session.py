@@ -23,7 +23,12 @@ def build_session(app: str = "postgeo", master: str | None = None, shuffle_parti
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
     )
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false")
+        b = (
+            b.master(master)
+            .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
+            .config("spark.driver.memory", "12g")
+        )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()

@@ -320,17 +320,17 @@ def q_posted_date(s, d):
 
 
 def q_addresses(s, d):
-    a = posts(s, d).select("msgid", extract.addresses(F.col("body")).alias("a"))
+    a = extract.with_addresses(posts(s, d), "body", "a")
     return a.select("msgid", F.posexplode("a").alias("pos", "address"))
 
 
 def q_addresses_strict(s, d):
-    a = posts(s, d).select("msgid", extract.addresses(F.col("body"), "strict").alias("a"))
+    a = extract.with_addresses(posts(s, d), "body", "a", "strict")
     return a.select("msgid", F.posexplode("a").alias("pos", "address"))
 
 
 def q_multi_store(s, d):
-    a = posts(s, d).select("msgid", extract.addresses(F.col("body")).alias("a"))
+    a = extract.with_addresses(posts(s, d), "body", "a")
     return a.select("msgid", F.size("a").cast("bigint").alias("n_addresses")).where("n_addresses > 1")
 
 

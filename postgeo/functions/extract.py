@@ -9,14 +9,14 @@ cost drops from quadratic to linear in the length of the text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed as X
 from .text import ascii_digits, collapse, contains_ci, distinct_ci, find_all, find_first, first_word, strip
 
 BIGINT_MAX = 9223372036854775807
-LETTER_RUN = "[A-Za-z<W>]"
-STORE_RUN = "[A-Za-z<W>&]"
 
 
 def run_start(char_class: str) -> str:
@@ -85,35 +85,88 @@ def posted_date(text: Column) -> Column:
 
 
 # --- addresses --------------------------------------------------------------------
+#
+# Letter case is ignored by spelling out both cases in character classes: the
+# regex engine then tests plain classes, which is several times faster than its
+# Unicode case-insensitive mode. S, K and I have extra forms that fold to them.
+
+FOLDED = {"s": "ſ", "k": "\u212a", "i": "İı"}
+LETTERS = "A-Za-zſ\u212aİı"
+
+
+def any_case(pattern: str) -> str:
+    """Spell out both cases of the ASCII letters outside classes and tokens."""
+
+    def spell(m: re.Match) -> str:
+        c = m.group(0)
+        if len(c) > 1:
+            return c.replace("A-Z", LETTERS) if c == "[A-Z]" else c
+        return f"[{c.upper()}{c.lower()}{FOLDED.get(c.lower(), '')}]"
+
+    return re.sub(r"\[[^\]]*\]|<[WD]>|[A-Za-z]", spell, pattern)
+
 
+def any_of(words: str) -> str:
+    return "(?:" + any_case(words) + ")"
+
+
+LETTER_RUN = f"[A-Za-z<W>{LETTERS[6:]}]"
+STORE_RUN = f"[A-Za-z<W>&{LETTERS[6:]}]"
+WORD = f"[{LETTERS}]"
+_POST = any_case(X.POSTCODE)
 _TAIL = rf"[,<W>]+{LETTER_RUN}+(?:,[<W>]*)?"
-_STREET = rf"<D>+[A-Za-z]?[<W>]{LETTER_RUN}+"
-_NUMBER_START = run_start("<D>")
+_STREET = rf"<D>+{WORD}?[<W>]{LETTER_RUN}+"
+_NUMBER = rf"(?=<D>){run_start('<D>')}"
 
 STREET_PATTERNS = [
-    rf"(?iu){_NUMBER_START}({_STREET}(?:{X.STREET_WORDS_LONG}){_TAIL}(?:{X.POSTCODE}|{X.PROVINCES})?)",
-    rf"(?iu){_NUMBER_START}({_STREET}(?:{X.STREET_WORDS})[,<W>]+{LETTER_RUN}+)",
-    rf"(?iu){run_start(LETTER_RUN)}({LETTER_RUN}+(?:{X.STREET_WORDS}){_TAIL}(?:{X.POSTCODE}|{X.PROVINCES})?)",
+    rf"{_NUMBER}({_STREET}{any_of(X.STREET_WORDS_LONG)}{_TAIL}(?:{_POST}|{any_of(X.PROVINCES)})?)",
+    rf"{_NUMBER}({_STREET}{any_of(X.STREET_WORDS)}[,<W>]+{LETTER_RUN}+)",
+    rf"{run_start(LETTER_RUN)}({LETTER_RUN}+{any_of(X.STREET_WORDS)}{_TAIL}(?:{_POST}|{any_of(X.PROVINCES)})?)",
 ]
-# strict mode: a house number is required and the street word must end at a
-# word boundary
+# strict mode: a house number is required and the street word must be a whole word
 STRICT_PATTERN = (
-    rf"(?iu){_NUMBER_START}({_STREET}(?<![A-Za-z])(?:{X.STREET_WORDS_LONG})(?![A-Za-z])"
-    rf"{_TAIL}(?:{X.POSTCODE}|{X.PROVINCES})?)"
+    rf"{_NUMBER}({_STREET}(?<!{WORD}){any_of(X.STREET_WORDS_LONG)}(?!{WORD})"
+    rf"{_TAIL}(?:{_POST}|{any_of(X.PROVINCES)})?)"
+)
+AREA_CITY_PATTERN = (
+    rf"{run_start(WORD)}({WORD}{{2,}}{any_of(X.AREA_ENDINGS)}[,<W>]+{any_of(X.AREA_CITIES)})"
+)
+AREA_WORD_PATTERN = (
+    rf"{run_start(WORD)}({WORD}{{2,}}(?:・|/|[<W>]+){WORD}{{2,}}{any_of(X.AREA_WORDS)})"
 )
-AREA_PATTERNS = [
-    rf"(?iu){run_start('[A-Za-z]')}([A-Z][a-z]+(?:{X.AREA_ENDINGS})[,<W>]+(?:{X.AREA_CITIES}))",
-    rf"(?iu){run_start('[A-Za-z]')}([A-Z][a-z]+(?:・|/|[<W>]+)[A-Z][a-z]+(?:{X.AREA_WORDS}))",
-]
 STORE_STREET_PATTERN = (
-    rf"(?iu)(?:{run_start(STORE_RUN)}({STORE_RUN}+(?:{'|'.join(X.STORE_WORDS_ADDRESS)})[,<W>]+))?"
-    rf"{_NUMBER_START}({_STREET}(?:{X.STREET_WORDS}){_TAIL}(?:{X.POSTCODE})?)"
+    rf"(?:{run_start(STORE_RUN)}{STORE_RUN}+{any_of('|'.join(X.STORE_WORDS_ADDRESS))}[,<W>]+)?"
+    rf"{_NUMBER}{_STREET}{any_of(X.STREET_WORDS)}{_TAIL}(?:{_POST})?"
 )
 
 
-def labelled_addresses(text: Column) -> Column:
-    """Rest of the line behind an address label."""
-    found = F.concat(*[find_all(text, rf"(?iu){label}([^\n]+)") for label in X.ADDRESS_LABELS])
+def search_form(text: Column) -> Column:
+    """Lower-case form for quick word tests; the letters that only fold to s and i
+    are replaced, so a word matched in any case is always found here."""
+    for odd, plain in (("ſ", "s"), ("İ", "i"), ("ı", "i")):
+        text = F.replace(text, F.lit(odd), F.lit(plain))
+    return F.lower(text)
+
+
+def _found_if(condition: Column, matches: Column) -> Column:
+    return F.when(condition, matches).otherwise(F.array().cast("array<string>"))
+
+
+def _label_word(label: str) -> str:
+    """The plain word of a label pattern."""
+    return re.sub(r"[\[<].*", "", label.split("[<W>]+", 1)[-1] if label.startswith("Work") else label)
+
+
+def labelled_addresses(text: Column, low: Column) -> Column:
+    """Rest of the line behind an address label. ``low``: search form of the text."""
+    found = F.concat(
+        *[
+            _found_if(
+                contains_ci(low, [_label_word(label)]), find_all(text, rf"{any_case(label)}([^\n]+)")
+            )
+            for label in X.ADDRESS_LABELS
+        ]
+    )
     clean = F.transform(found, collapse)
     return F.filter(
         clean,
@@ -125,54 +178,70 @@ def _trimmed(arr: Column, longer_than: int) -> Column:
     return F.filter(F.transform(arr, strip), lambda a: F.length(a) > longer_than)
 
 
-def street_addresses(text: Column, mode: str = "reference") -> Column:
-    patterns = STREET_PATTERNS if mode == "reference" else [STRICT_PATTERN]
-    return _trimmed(F.concat(*[find_all(text, p) for p in patterns]), 10)
-
-
-def area_names(text: Column) -> Column:
-    return _trimmed(F.concat(*[find_all(text, p) for p in AREA_PATTERNS]), 5)
+def area_names(text: Column, low: Column) -> Column:
+    by_city = _found_if(contains_ci(low, X.AREA_CITIES.split("|")), find_all(text, AREA_CITY_PATTERN))
+    by_word = _found_if(contains_ci(low, X.AREA_WORDS.split("|")), find_all(text, AREA_WORD_PATTERN))
+    return _trimmed(F.concat(by_city, by_word), 5)
 
 
 def store_addresses(text: Column) -> Column:
-    pairs = F.arrays_zip(
-        find_all(text, STORE_STREET_PATTERN, 1).alias("store"),
-        find_all(text, STORE_STREET_PATTERN, 2).alias("street"),
-    )
+    """Store name and street of each match; the street starts at the first digit."""
     joined = F.transform(
-        pairs, lambda p: F.trim(F.concat(strip(p["store"]), F.lit(" "), strip(p["street"])))
+        find_all(text, STORE_STREET_PATTERN, 0),
+        lambda m: F.trim(
+            F.concat(
+                strip(F.regexp_extract(m, r"\A[^\p{Nd}]*", 0)),
+                F.lit(" "),
+                strip(F.regexp_extract(m, r"(?s)\p{Nd}.*\z", 0)),
+            )
+        ),
     )
     return F.filter(joined, lambda a: F.length(a) > 10)
 
 
-def addresses(text: Column, mode: str = "reference") -> Column:
-    """All addresses of a post, first by kind of rule, then by place in the text.
+def with_addresses(df: DataFrame, text: str, out: str, mode: str = "reference") -> DataFrame:
+    """Adds all addresses of a text, first by kind of rule, then by place.
 
     ``mode='reference'`` keeps the loose street rules, under which a street word
     may sit inside another word; ``mode='strict'`` wants a house number and a
     whole street word.
+
+    The lower-case form and the first street rule are columns of their own: many
+    rules use the one, and where the other finds nothing the narrower numbered
+    rules cannot find anything either and are skipped.
     """
-    parts = [labelled_addresses(text), street_addresses(text, mode), area_names(text)]
+    body, low, numbered = F.col(text), F.col("_low"), F.col("_numbered")
+    first = STREET_PATTERNS[0] if mode == "reference" else STRICT_PATTERN
+    df = df.withColumn("_low", search_form(body)).withColumn("_numbered", find_all(body, first))
+    some = F.size("_numbered") > 0
     if mode == "reference":
-        parts.append(store_addresses(text))
-    return distinct_ci(F.concat(*parts))
+        streets = [
+            _trimmed(numbered, 10),
+            _found_if(some, _trimmed(find_all(body, STREET_PATTERNS[1]), 10)),
+            _trimmed(find_all(body, STREET_PATTERNS[2]), 10),
+        ]
+        stores = [_found_if(some, store_addresses(body))]
+    else:
+        streets, stores = [_trimmed(numbered, 10)], []
+    parts = [labelled_addresses(body, low), *streets, area_names(body, low), *stores]
+    return df.withColumn(out, distinct_ci(F.concat(*parts))).drop("_low", "_numbered")
 
 
 # --- store name and location text ---------------------------------------------------
 
-STORE_NAME_PATTERNS = [rf"(?iu){label}([^\n]+)" for label in X.STORE_LABELS] + [
-    rf"(?iu)(?<!{STORE_RUN})({STORE_RUN}+(?:{'|'.join(X.STORE_WORDS)}))"
-]
+STORE_LABEL_PATTERNS = [rf"{any_case(label)}([^\n]+)" for label in X.STORE_LABELS]
+STORE_NAME_PATTERN = rf"(?<!{STORE_RUN})({STORE_RUN}+{any_of('|'.join(X.STORE_WORDS))})"
 
 
 def store_name(body: Column, title: Column) -> Column:
     """The title if it names a kind of store, else the first name in the body."""
     named = F.when(contains_ci(F.lower(title), X.STORE_WORDS), title)
     tries = []
-    for pattern in STORE_NAME_PATTERNS:
+    for pattern in [*STORE_LABEL_PATTERNS, STORE_NAME_PATTERN]:
         s = strip(find_first(body, pattern))
         tries.append(F.when(F.length(s) > 3, s))
-    return F.coalesce(named, *tries)
+    by_name = F.when(contains_ci(search_form(body), X.STORE_WORDS), tries.pop())
+    return F.coalesce(named, *tries, by_name)
 
 
 def location_text(first_address: Column, store: Column, hint: Column) -> Column:

@@ -7,10 +7,7 @@ used inside a character class), ``<D>`` for one Unicode decimal digit.
 """
 
 # --- fixed values: text classes --------------------------------------------
-SPACE_CHARS = (
-    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+SPACE_CHARS = r"\p{IsWhite_Space}\x1c-\x1f"
 DIGIT = r"\p{Nd}"
 
 # --- fixed values: job categories, first list with a hit wins ---------------

@@ -459,7 +459,7 @@ def visible(c: str) -> str:
 
 def tag_text(c: str) -> str:
     out = f"regexp_replace({c}, '</?[a-zA-Z][^>]*>', '', 'g')"
-    for name, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+    for name, ch in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
         out = f"replace({out}, '{name}', '{ch}')"
     return out
 
@@ -511,7 +511,8 @@ O["segment_posts"] = f"WITH {SEGMENTS} SELECT url, msgid, title, body, body_sour
 O["body_fallback"] = f"""WITH {SEGMENTS}
 SELECT body_source, count(*) AS posts, CAST(sum(coalesce(length(body), 0)) AS BIGINT) AS chars FROM post GROUP BY body_source"""
 RECORDS = f"""{SEGMENTS},
-named AS (SELECT concat('{NEW_HOST}/topics.php?bbs=', bbs, '&msgid=', msgid) AS source_url, msgid, title, coalesce(body, '') AS body,
+named AS (SELECT concat(CASE WHEN contains(url, 'listing.php') THEN rtrim(split_part(url, 'listing.php', 1), '/') ELSE regexp_replace(url, '/[^/]*$', '') END,
+  '/topics.php?bbs=', bbs, '&msgid=', msgid) AS source_url, msgid, title, coalesce(body, '') AS body,
   CAST(epoch(fetched_at) AS BIGINT) * 1048576 - (msgid % 1048576) AS seq FROM post
   WHERE msgid IS NOT NULL AND (coalesce(title, '') <> '' OR coalesce(body, '') <> '')),
 numbered AS (SELECT row_number() OVER () AS k, * FROM named), {address_ctes('numbered', 'k')},
@@ -522,5 +523,22 @@ O["page_records"] = f"""WITH {RECORDS}
 SELECT source_url, msgid, title, wage_min, wage_max, category, region_hint, location_text, {ts('posted_at')} AS posted_at FROM records"""
 
 
+# streams end where the batch form ends
+O["stream_new_posts"] = "SELECT DISTINCT source_url, msgid FROM incoming_fx"
+O["stream_crawl_metrics"] = f"""
+WITH w AS (SELECT bbs, time_bucket(INTERVAL '15 minutes', ingested_at) AS s, count(*) AS attempts, count(*) FILTER (ok = 0) AS failed FROM crawl_events_fx GROUP BY ALL)
+SELECT bbs, {ts('s')} AS window_start, attempts, failed, round(failed / attempts, 6) AS error_rate FROM w
+WHERE s + INTERVAL '15 minutes' <= (SELECT max(ingested_at) - INTERVAL '30 minutes' FROM crawl_events_fx)"""
+O["stream_alerts"] = boxed("v.q_id, j.source_url, round(j.lat,6) AS lat, round(j.lng,6) AS lng")
+_page_geo = f"""{RECORDS}, {geocoded('records')}, judged AS (SELECT *, {_code} AS code FROM geo)"""
+_page_merge = f"""{_page_geo} {_last} {merged('merged', 'last')}"""
+O["stream_ingest"] = f"WITH {_page_merge} {_mview.replace(', created FROM', ' FROM')}"
+_near = _circle.replace("jobs_fx j", "merged j").replace("j.id,", "j.source_url,")
+O["crawl_to_search"] = f"""WITH {_page_merge},
+near AS (SELECT *, {sphere('lat', 'lng', 'c_lat', 'c_lng')} AS distance_km FROM ({_near})),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance_km, source_url) AS rn FROM near)
+SELECT q_id, count(*) AS n, round(max(distance_km), 6) AS farthest_km FROM ranked WHERE rn <= l GROUP BY q_id"""
+
+
 def all_oracles() -> dict[str, str]:
     return {k: for_duckdb(v) for k, v in O.items()}

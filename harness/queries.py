@@ -8,7 +8,11 @@ from postgeo.functions import extract, fixed as X, labels, places
 from postgeo.functions.text import strip_html
 from postgeo.operators import batch, cluster, crawl, dedup, geocode, ingest, quality, regions, search, segment
 from postgeo.plans import flow
-from postgeo.sources.tables import split_fetched
+from postgeo.sources.schemas import UPSERT_FIELDS
+from postgeo.sources.tables import split_fetched, spread
+
+from postgeo.session import cut_lineage, scratch_path
+from postgeo.streaming import jobs as streams
 
 from .fixtures import view
 
@@ -293,7 +297,7 @@ def q_post_url(s, d):
 
 
 def posts(s, d):
-    return view(s, d, "posts_fx")
+    return spread(view(s, d, "posts_fx"))
 
 
 def q_wage(s, d):
@@ -355,7 +359,7 @@ def q_dup_ratio(s, d):
 
 
 def pages(s, d):
-    return view(s, d, "raw_pages_fx")
+    return spread(view(s, d, "raw_pages_fx"))
 
 
 def q_strip_html(s, d):
@@ -384,7 +388,8 @@ def q_new_msgids(s, d):
 
 def q_crawl_to_search(s, d):
     """Pages to postings to the nearest postings of every centre."""
-    stored = flow.pages_to_snapshot(pages(s, d), jobs(s, d), view(s, d, "gazetteer_fx"), NEW_HOST)
+    merged = flow.pages_to_snapshot(pages(s, d), jobs(s, d), view(s, d, "gazetteer_fx"), NEW_HOST)
+    stored = cut_lineage(merged.drop("created"), "snapshot")
     found = batch.nearby_batch(stored, view(s, d, "centers_fx"), ["id", "source_url", "category", "confidence"])
     # ids of new rows are hashes; ties in distance are told apart by address
     return tidy(found.groupBy("q_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance_km").alias("farthest_km")))
@@ -398,5 +403,46 @@ def q_page_records(s, d):
     )
 
 
+# --- streams: each run drains its input and returns what reached the sink -----------------
+
+
+def q_stream_new_posts(s, d):
+    """First sighting of every address in a feed of ingest calls."""
+    feed = view(s, d, "incoming_fx").select(
+        "source_url", "msgid", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("seen_at")
+    )
+    src = streams.as_feed(feed, 4)
+    out = streams.first_seen(streams.read_feed(s, src, feed.schema), "1 hour")
+    return streams.run_to_table(out, "append").select("source_url", "msgid")
+
+
+def q_stream_crawl_metrics(s, d):
+    """Closed 15-minute windows of the crawl events."""
+    events = view(s, d, "crawl_events_fx")
+    src = streams.as_feed(events, 1)
+    out = streams.crawl_metrics(streams.read_feed(s, src, events.schema), "30 minutes")
+    return tidy(streams.run_to_table(out, "append"))
+
+
+def q_stream_alerts(s, d):
+    """Saved areas hit by new postings as they arrive."""
+    new = jobs(s, d).select("source_url", *batch.TESTED)
+    src = streams.as_feed(new, 4)
+    areas = cut_lineage(batch.viewport_cells(batch.accepted(batch.check_viewports(view(s, d, "viewports_fx")))), "areas")
+    out = streams.alerts(streams.read_feed(s, src, new.schema), areas)
+    return tidy(streams.run_to_table(out, "append"))
+
+
+def q_stream_ingest(s, d):
+    """Pages arriving in files, merged batch by batch into the stored table."""
+    p = view(s, d, "raw_pages_fx")
+    src = streams.as_feed(spread(p), 2)
+    stored = cut_lineage(jobs(s, d), "stored")
+    merged = streams.ingest_pages(
+        streams.read_feed(s, src, p.schema, 1), stored, view(s, d, "gazetteer_fx"), NEW_HOST
+    )
+    return tidy(merged.select("source_url", *UPSERT_FIELDS))
+
+
 def all_queries() -> dict:
     return {k[2:]: v for k, v in globals().items() if k.startswith("q_")}

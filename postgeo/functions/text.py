@@ -89,7 +89,7 @@ def distinct_ci(arr: Column) -> Column:
 
 # fixed values: entities replaced by strip_html, '&amp;' last
 ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
+    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
     ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"),
 ]
 INVISIBLE = r"(?is)<script\b[^>]*>.*?</script[^>]*>|<style\b[^>]*>.*?</style[^>]*>|<!--.*?-->|<!doctype[^>]*>"

@@ -195,7 +195,7 @@ def cell_join(jobs: DataFrame, requests: DataFrame, columns: list[str]) -> DataF
     return placed.join(q, "cell").drop("cell")
 
 
-def _filters_hold() -> Column:
+def filters_hold() -> Column:
     """Optional conditions of the request row against the posting."""
     return (
         (F.col("q_wage_min").isNull() | (F.col("wage_min") >= F.col("q_wage_min")))
@@ -214,7 +214,7 @@ def match_viewports(jobs: DataFrame, viewports: DataFrame, columns: list[str]) -
         F.col("lat"), F.col("lng"),
         F.col("q_min_lng"), F.col("q_min_lat"), F.col("q_max_lng"), F.col("q_max_lat"),
     )
-    return pairs.where(inside & _filters_hold())
+    return pairs.where(inside & filters_hold())
 
 
 def match_centers(jobs: DataFrame, centers: DataFrame, columns: list[str]) -> DataFrame:
@@ -222,7 +222,7 @@ def match_centers(jobs: DataFrame, centers: DataFrame, columns: list[str]) -> Da
     pairs = cell_join(jobs, center_cells(centers), columns)
     lat, lng, c_lat, c_lng = F.col("lat"), F.col("lng"), F.col("q_lat"), F.col("q_lng")
     near = (F.abs(lat - c_lat) <= F.col("q_dlat")) & geo.lng_near(lng, c_lng, F.col("q_dlng"))
-    close = geo.with_ellipsoid_m(pairs.where(near & _filters_hold()), "_m", lat, lng, c_lat, c_lng)
+    close = geo.with_ellipsoid_m(pairs.where(near & filters_hold()), "_m", lat, lng, c_lat, c_lng)
     return (
         close.where(F.col("_m") <= F.col("q_radius_km") * 1000.0)
         .drop("_m")

@@ -22,9 +22,10 @@ since the next step is shuffled by request.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed as X, geo
+from ..session import cut_lineage
 from ..sources.schemas import JOB_RESULT
 from .pin import pin
 from .ranking import top_rows
@@ -233,13 +234,54 @@ def match_centers(jobs: DataFrame, centers: DataFrame, columns: list[str]) -> Da
 # --- answers -------------------------------------------------------------------------------
 
 
+def _with_cutoff(requests: DataFrame, matches: DataFrame, bucket: Column) -> DataFrame:
+    """Requests with ``cut``: the last bucket of the ranking that can still hold
+    one of their first ``lim`` postings.
+
+    ``bucket`` is a whole number that grows along the ranking. Counting per bucket
+    is a combinable aggregation over grouped postings, so finding the cut costs no
+    sort, and only the rows up to the cut are ranked afterwards.
+    """
+    per_bucket = matches.groupBy("q_id", bucket.alias("bucket")).agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy("q_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = per_bucket.withColumn("before", F.sum("n").over(upto) - F.col("n"))
+    cut = (
+        before.join(requests.select("q_id", "lim"), "q_id")
+        .where(F.col("before") < F.col("lim"))
+        .groupBy("q_id")
+        .agg(F.max("bucket").alias("cut"))
+    )
+    # written: the requests are used twice below, the count should run once
+    return cut_lineage(requests.join(cut, "q_id"), "cutoff")
+
+
+def _age_bucket(posted_at: Column) -> Column:
+    """Months back in time; postings without a date come first."""
+    return F.coalesce(-F.floor(F.unix_date(posted_at.cast("date")) / 30), F.lit(-(1 << 40))).cast("bigint")
+
+
+RINGS = 64
+
+
+def _ring() -> Column:
+    """Ring of the circle a posting lies in, from the centre outwards."""
+    return F.floor(F.col("distance_km") / F.col("q_radius_km") * RINGS).cast("bigint")
+
+
 def viewport_batch(
     jobs: DataFrame, viewports: DataFrame, columns: list[str] = JOB_RESULT
 ) -> DataFrame:
     """Newest ``lim`` postings of every box, ranked by ``rn``."""
     order = [F.col("posted_at").desc_nulls_first(), F.col("id").asc()]
+    asked = accepted(check_viewports(viewports))
+    alike = (
+        jobs.withColumn("age", _age_bucket(F.col("posted_at")))
+        .groupBy(*TESTED, "age")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    asked = _with_cutoff(asked, match_viewports(alike, asked, alike.columns), F.col("age"))
     slim = keep_showable(jobs.select(*_needed(columns, "posted_at")), order)
-    pairs = match_viewports(slim, accepted(check_viewports(viewports)), slim.columns)
+    pairs = match_viewports(slim, asked, slim.columns).where(_age_bucket(F.col("posted_at")) <= F.col("q_cut"))
     ranked = top_rows(pairs, ["q_id"], order, X.LIMIT_MAX, F.col("id"))
     return ranked.where(F.col("rn") <= F.col("q_lim")).select("q_id", "rn", *columns)
 
@@ -248,8 +290,11 @@ def nearby_batch(
     jobs: DataFrame, centers: DataFrame, columns: list[str] = JOB_RESULT
 ) -> DataFrame:
     """Nearest ``lim`` postings of every circle, ranked by ``rn``."""
+    asked = accepted(check_centers(centers))
+    alike = group_alike(jobs)
+    asked = _with_cutoff(asked, match_centers(alike, asked, alike.columns), _ring())
     slim = keep_showable(jobs.select(*_needed(columns)), [F.col("id").asc()])
-    pairs = match_centers(slim, accepted(check_centers(centers)), slim.columns)
+    pairs = match_centers(slim, asked, slim.columns).where(_ring() <= F.col("q_cut"))
     ranked = top_rows(
         pairs, ["q_id"], [F.col("distance_km").asc(), F.col("id").asc()], X.LIMIT_MAX, F.col("id")
     )

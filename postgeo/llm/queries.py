@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, packing
+from . import bpe, divergence, jaccard, packing, sharding, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
+SHARDS = 24
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,5 +35,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op8_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(_table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"), [1.0] * SHARDS)
+
+
 def llm_queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}

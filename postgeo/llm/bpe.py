@@ -13,13 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 LONG = 192
 #: Encoded word pieces kept per Python worker; older ones go when it is full.
-CACHED = 500_000
+CACHED = 250_000
 CACHED_CHARS = 48
+#: Text encoded at a time.
+SLICE_BYTES = 2 << 20
 NONE = np.int32(2**31 - 1)
 _tables: dict[tuple[str, str], "Ranks"] = {}
 
@@ -215,47 +218,62 @@ class _PairTable:
         return out.reshape(left.shape)
 
 
-def _with_binary(df: DataFrame, column: str, out: str, work) -> DataFrame:
-    """``df`` with a binary column ``out`` made by ``work(list of values)`` per batch."""
-    inside = df.select(F.col(f"`{column}`").alias("_in"), F.struct("*").alias("_row"))
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, rows) of stretches of about SLICE_BYTES; a longer value stands alone, whole."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > SLICE_BYTES:
+            yield start, i - start
+            start, size = i, 0
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes) - start
+
+
+def _with_binary(df: DataFrame, column: str, outs: list[str], work) -> DataFrame:
+    """``df`` with binary columns ``outs``, made by ``work(values)`` for short lists of values."""
+    inside = df.select(F.col(f"`{column}`").alias("_in"), F.struct(*[c for c in df.columns if c != column]).alias("_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = work(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.binary())], ["_row", "_out"])
+            for a, n in _slices(batch.column(0)):
+                made = [pa.array(m, pa.binary()) for m in work(batch.column(0).slice(a, n).to_pylist())]
+                names = ["_row", *[f"_out{i}" for i in range(len(made))]]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, n), *made], names)
 
-    schema = f"_row {inside.schema['_row'].dataType.simpleString()}, _out binary"
-    return inside.mapInArrow(run, schema).select("_row.*", F.col("_out").alias(out))
+    schema = f"_row {inside.schema['_row'].dataType.simpleString()}" + "".join(f", _out{i} binary" for i in range(len(outs)))
+    return inside.mapInArrow(run, schema).select("_row.*", *[F.col(f"_out{i}").alias(o) for i, o in enumerate(outs)])
 
 
-def encode(df: DataFrame, text_col: str, path: str, pattern: str, out: str = "ids") -> DataFrame:
+def encode(
+    df: DataFrame, text_col: str, path: str, pattern: str, out: str = "ids", decoded: str | None = None
+) -> DataFrame:
     """``df`` without the text and with its token ids: binary, little-endian unsigned 32-bit.
 
     Each match of ``pattern`` is encoded alone; special tokens have no meaning. A null text
     counts as empty, an empty one has no ids. All other columns stay as they are; one named
-    ``out`` is replaced. An empty table stays empty; repeated rows repeat. ``path`` is read
-    on the workers.
+    ``out`` is replaced. With ``decoded``, a column of that name gets what the ids decode to.
+    An empty table stays empty; repeated rows repeat. ``path`` is read on the workers.
     """
+    outs = [out] if decoded is None else [out, decoded]
 
-    def work(texts: list) -> list[bytes]:
-        table, done, start, size = Ranks.load(path, pattern), [], 0, 0
-        for i, t in enumerate(texts):  # slices of a few MB bound the lists of chunks
-            size += len(t or "")
-            if size > 4 << 20 or i == len(texts) - 1:
-                done += table.encode([x or "" for x in texts[start : i + 1]])
-                start, size = i + 1, 0
-        return done
+    def work(texts: list) -> list[list[bytes]]:
+        table = Ranks.load(path, pattern)
+        ids = table.encode([t or "" for t in texts])
+        return [ids] if decoded is None else [ids, [table.decode(i) for i in ids]]
 
-    renamed = df.drop(out) if out != text_col else df
-    with_ids = _with_binary(renamed.withColumn("_text", F.col(text_col)).drop(text_col), "_text", "_ids", work)
-    return with_ids.withColumnRenamed("_ids", out).drop("_text")
+    others = [c for c in df.columns if c not in (text_col, "__text", *outs)]
+    rows = df.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in others])
+    return _with_binary(rows, "__text", outs, work)
 
 
 def decode(df: DataFrame, ids_col: str, path: str, pattern: str, out: str = "decoded") -> DataFrame:
     """``df`` with the bytes that the ids in ``ids_col`` stand for; null ids count as none."""
 
-    def work(ids: list) -> list[bytes]:
+    def work(ids: list) -> list[list[bytes]]:
         table = Ranks.load(path, pattern)
-        return [table.decode(i or b"") for i in ids]
+        return [[table.decode(i or b"") for i in ids]]
 
-    return _with_binary(df.drop(out), ids_col, "_decoded", work).withColumnRenamed("_decoded", out)
+    rows = df.drop(out) if out != ids_col else df
+    return _with_binary(rows.withColumn("_ids", F.col(ids_col)), "_ids", [out], work)

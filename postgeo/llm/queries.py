@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, divergence, jaccard, packing, sharding, urls
+from . import bpe, divergence, jaccard, langid, licenses, packing, quality, sharding, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 SHARDS = 24
@@ -15,15 +15,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("spans").cast("long").alias("n_license_paragraphs"),
+        F.array_join("families", ",").alias("families"), F.array_max("spans.chance").alias("chance"),
+    )
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", *ranks)
-    back = bpe.decode(ids, "ids", *ranks)
-    return back.select(
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, "text", *ranks, decoded="decoded").select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
@@ -40,6 +47,17 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents carry no address: the source stands for the host, the language for the path."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    judged = quality.judge(docs, _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    return judged.drop("text", "source", "lang")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op8_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(_table(spark, sf_dir, "documents"))
 

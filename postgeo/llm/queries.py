@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, divergence, jaccard, langid, licenses, packing, quality, sharding, urls
+from . import bpe, divergence, images, jaccard, langid, licenses, packing, quality, sharding, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 SHARDS = 24
@@ -62,6 +62,16 @@ def op8_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(_table(spark, sf_dir, "documents"))
 
 
+def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no pictures, so each page gets one: a quarter of them shows a scene of
+    the page's host, the others one shared by two neighbouring pages."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    host, _ = urls.url_parts(F.col("url"))
+    own = F.xxhash64(F.lit("page"), F.floor(F.col("page_id") / 2))
+    scene = F.when(F.pmod(F.xxhash64("url"), F.lit(4)) == 0, F.xxhash64(F.lit("host"), host)).otherwise(own)
+    return images.copies(images.lead_images(pages, "page_id", scene), "page_id", "image")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 

@@ -27,7 +27,7 @@ def shard_of(key: Column, weights: list[float]) -> Column:
         u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(s)), 11).cast("double") + 0.5) / float(1 << 53)
         # -w / ln(u) has its maximum where ln(u) / w has
         scores.append(F.struct((F.ln(u) / F.lit(float(w))).alias("score"), F.lit(-s).alias("s")))
-    return (-F.greatest(*scores)["s"]).cast("int")
+    return (-F.greatest(*scores, scores[0])["s"]).cast("int")
 
 
 def assign(

@@ -27,6 +27,7 @@ BLOCKED = [
     ("spam-links.example.org", "/de/"), ("free-download-crack.example.com", "/"), ("warez-crack.example.net", "/keygen"),
     ("torrent-crack.example.org", "/en/"), ("win-free-prize.example.com", "/"), ("free-money-win.example.net", "/es/2"),
     ("payday-loans.example.com", "/apply"), ("quick-loan-cash.example.org", "/"), ("replica-watches.example.net", "/buy"),
+    ("discount-pills.example.org", "/en/2"), ("pharma-shop.example.com", "/pills"), ("tracking-pixel.example.net", "/p"), ("ad-network.example.com", "/"),
     ("malware-host.example.com", "/exe"), ("phish-login.example.org", "/bank"), ("crypto-giveaway.example.net", "/"),
 ]
 ALLOWED = [
@@ -42,6 +43,7 @@ ALLOWED = [
     ("ciudad.example.org", "/es/102"), ("railway.example.com", "/timetable"), ("astronomy.example.net", "/en/stars"),
     ("painting.example.org", "/fr/"), ("football.example.com", "/en/results"), ("chess.example.net", "/en/openings"), ("theatre.example.org", "/programme"),
     ("parliament.example.com", "/minutes"), ("weaving.example.net", "/patterns"), ("bakery.example.org", "/bread"), ("cycling.example.com", "/routes"),
+    ("bike-shop.example.org", "/repair"), ("wool.example.com", "/shop/"), ("m.example.org", "/"), ("track-and-field.example.net", "/en/results"),
     ("advice.example.net", "/citizens"), ("freedom.example.org", "/essay"), ("winter.example.com", "/ski"), ("essex.example.net", "/towns"),
 ]
 #: Production rules: host and path, and what they say.

@@ -9,23 +9,14 @@ from __future__ import annotations
 
 import re
 
+from postgeo.functions.fixed import CITY_CENTERS
+
 BASE = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
-_CENTERS = """
-  (1, 'Vancouver', 49.2827, -123.1207), (2, 'Victoria', 48.4284, -123.3656),
-  (3, 'Toronto', 43.6532, -79.3832), (4, 'Whistler', 50.1163, -122.9574),
-  (5, 'Burnaby', 49.2488, -122.9805), (6, 'Surrey', 49.1913, -122.849),
-  (7, 'Richmond', 49.1666, -123.1364), (8, 'Kelowna', 49.888, -119.496),
-  (9, 'Banff', 51.1784, -115.5708), (10, 'Canmore', 51.0888, -115.3581),
-  (11, 'Calgary', 51.0447, -114.0719), (12, 'Edmonton', 53.5461, -113.4938),
-  (13, 'Vernon', 50.267, -119.2724), (14, 'Nelson', 49.4995, -117.2855),
-  (15, 'Revelstoke', 50.9971, -118.1953), (16, 'Jasper', 52.8737, -118.0814),
-  (17, 'Halifax', 44.6488, -63.5752), (18, 'Montreal', 45.5017, -73.5673),
-  (19, 'Winnipeg', 49.8951, -97.1384), (20, 'Yellowknife', 62.454, -114.3718)
-"""
+_CENTERS = ", ".join(f"({i}, '{c}', {lat}, {lng})" for i, (c, lat, lng) in enumerate(CITY_CENTERS, start=1))
 
 VIEWS: dict[str, str] = {}
 
@@ -121,8 +112,12 @@ SELECT concat('https://bbs.example/listing.php?bbs=', substring(source, 4), '&pa
 FROM {documents}
 UNION ALL
 SELECT concat(url, '&msgid=', CAST(1000000000 + page_id AS STRING)) AS url, CAST(page_id % 20 AS INT) AS bbs,
-  CASE WHEN page_id % 10 = 9 THEN NULL ELSE html END AS html, CAST('2024-06-02 00:00:00' AS TIMESTAMP) AS fetched_at
+  html, CAST('2024-06-02 00:00:00' AS TIMESTAMP) AS fetched_at
 FROM {pages}
+UNION ALL
+SELECT concat('https://bbs.example/topics.php?bbs=4&msgid=', CAST(2000000000 + event_id AS STRING)) AS url, CAST(4 AS INT) AS bbs,
+  CAST(NULL AS STRING) AS html, CAST('2024-06-03 00:00:00' AS TIMESTAMP) AS fetched_at
+FROM {events} WHERE event_type = 'error'
 """
 
 VIEWS["listings_fx"] = """

@@ -282,7 +282,7 @@ _last = """, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s
   wage_min DESC NULLS LAST, wage_max DESC NULLS LAST, lat DESC, lng DESC, category DESC) AS r FROM judged WHERE code IS NULL) WHERE r = 1)"""
 O["ingest_rejects"] = f"""WITH {_judged}
 SELECT source_url, seq, code, location_text AS details FROM judged WHERE code IS NOT NULL
-UNION ALL SELECT url, NULL, 'FETCH_FAILED', NULL FROM raw_pages_fx WHERE html IS NULL"""
+UNION ALL SELECT url, NULL, 'FETCH_FAILED', NULL FROM raw_pages_fx WHERE html IS NULL"""  # completed below, behind SEGMENTS
 O["upsert_last_wins"] = f"""WITH {_judged} {_last}
 SELECT source_url, seq, msgid, title, CAST(wage_min AS INT) AS wage_min, CAST(wage_max AS INT) AS wage_max, round(lat,6) AS lat, round(lng,6) AS lng,
   category, confidence, {ts('posted_at')} AS posted_at, region_hint FROM last"""
@@ -326,7 +326,7 @@ SELECT id, CASE WHEN bbs = 4 THEN 'Vancouver' ELSE city END AS city, bbs,
 UNION ALL SELECT max(id) + 1, 'Other Cities', 59, '{NEW_HOST}/listing.php?bbs=59', 49.2827, -123.1207 FROM regions_fx HAVING count(*) FILTER (bbs = 59) = 0"""
 O["post_url"] = """
 SELECT p.bbs, msgid, listing_url, concat(split_part(listing_url, '/listing.php', 1), '/topics.php?bbs=', p.bbs, '&msgid=', msgid) AS url
-FROM posts_fx p JOIN regions_fx r ON r.bbs = p.bbs"""
+FROM posts_fx p JOIN (SELECT bbs, arg_min(listing_url, id) AS listing_url FROM regions_fx GROUP BY bbs) r ON r.bbs = p.bbs"""
 
 # --- text ------------------------------------------------------------------------------------------
 
@@ -435,7 +435,7 @@ f AS (SELECT p.msgid, a[1] AS ad, {store('title', 'body')} AS st, {city('body')}
 SELECT msgid, {located('ad', 'st', 'hint')} AS location_text FROM f"""
 
 _phone = r"\b(?:1[-. ]?)?\(?([0-9]{3})\)?[-. ]{0,2}([0-9]{3})[-. ]?([0-9]{4})\b"
-_mail = r"([A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})"
+_mail = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
 _keys = f"""
 raw AS (SELECT source_url, bbs, msgid, list_concat(
   list_transform({find_all('body', _phone, 0)}, lambda x: 'tel:' || right(regexp_replace(x, '[^0-9]', '', 'g'), 10)),
@@ -477,11 +477,19 @@ _h2 = r"(?is)<h2\b[^>]*>(.*?)</h2"
 _block = r"(?i)</?(?:p|div|td|th|tr|table|tbody|span|li|ul|ol|br|hr|h[1-6]|section|article|main|body|html)\b[^>]*>"
 _cont = []
 for _t, _at, _w in X.BODY_CONTAINERS:
-    _cont.append(
-        rf"(?is)<{_t}\b[^>]*>(.*?)</{_t}" if _at is None
-        else rf"(?is)<{_t}\b[^>]*?\s{_at}\s*=\s*[\"']?[^\"'>]*(?:{_w})[^>]*>(.*?)</{_t}"
-    )
-_ct = [tag_text(find("page", p)) for p in _cont]
+    _cont.append((_t, rf"(?is)<{_t}\b[^>]*>(.*)" if _at is None
+        else rf"(?is)<{_t}\b[^>]*?\s{_at}\s*=\s*[\"']?[^\"'>]*(?:{_w})[^>]*>(.*)"))
+
+
+def balanced(c: str, tag: str) -> str:
+    """Text up to the closing tag that belongs to the opening one before ``c``; NULL without it."""
+    pieces = f"string_split(regexp_replace(replace({c}, chr(2), ' '), '(?i)(</?{tag}[^a-zA-Z0-9-])', chr(2) || '\\1', 'g'), chr(2))"
+    depth = "1 + coalesce(list_sum(list_transform(s[2:i], lambda y: CASE WHEN starts_with(y, '</') THEN -1 ELSE 1 END)), 0)"
+    end = f"list_filter(range(2, len(s) + 1), lambda i: {depth} = 0)[1]"
+    return f"list_transform([{pieces}], lambda s: CASE WHEN {end} IS NOT NULL THEN array_to_string(s[1:{end} - 1], '') END)[1]"
+
+
+_ct = [tag_text(balanced(find("page", p), t)) for t, p in _cont]
 _short = "coalesce(length({0}), 0) < 50"
 SEGMENTS = f"""
 pg AS (SELECT url, bbs, fetched_at, {visible('html')} AS page FROM raw_pages_fx WHERE html IS NOT NULL),
@@ -507,6 +515,8 @@ b3 AS (SELECT *, CASE WHEN {_short.format('t2')} AND c3 <> '' THEN c3 ELSE t2 EN
 b4 AS (SELECT *, CASE WHEN {_short.format('t3')} AND c4 <> '' THEN c4 ELSE t3 END AS t4, CASE WHEN {_short.format('t3')} AND c4 <> '' THEN 'container' ELSE o3 END AS o4 FROM b3),
 post AS (SELECT url, bbs, fetched_at, msgid, title, CASE WHEN {_short.format('t4')} AND c5 <> '' THEN c5 ELSE t4 END AS body,
   CASE WHEN {_short.format('t4')} AND c5 <> '' THEN 'page' ELSE o4 END AS body_source FROM b4)"""
+O["ingest_rejects"] = O["ingest_rejects"].replace("WITH ", f"WITH {SEGMENTS},", 1) + """
+UNION ALL SELECT url, NULL, 'PARSE_FAILED', NULL FROM post WHERE msgid IS NULL OR (coalesce(title, '') = '' AND coalesce(body, '') = '')"""
 O["segment_posts"] = f"WITH {SEGMENTS} SELECT url, msgid, title, body, body_source FROM post"
 O["body_fallback"] = f"""WITH {SEGMENTS}
 SELECT body_source, count(*) AS posts, CAST(sum(coalesce(length(body), 0)) AS BIGINT) AS chars FROM post GROUP BY body_source"""

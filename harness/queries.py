@@ -9,7 +9,7 @@ from postgeo.functions.text import strip_html
 from postgeo.operators import batch, cluster, crawl, dedup, geocode, ingest, quality, regions, search, segment
 from postgeo.plans import flow
 from postgeo.sources.schemas import UPSERT_FIELDS
-from postgeo.sources.tables import split_fetched, spread
+from postgeo.sources.tables import split_fetched
 
 from postgeo.session import cut_lineage, scratch_path
 from postgeo.streaming import jobs as streams
@@ -49,7 +49,9 @@ def base(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{table}.parquet")
 
 
-JOB_COLS = ["id", "msgid", "wage_min", "wage_max", "lat", "lng", "source_url", "confidence", "category", "region_hint", "posted_at"]
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The given tables are single files of one split; rules over texts want all cores."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def jobs(s, d):
@@ -244,7 +246,10 @@ def _judged(s, d):
 def q_ingest_rejects(s, d):
     bad = ingest.rejected(_judged(s, d)).select("source_url", "seq", "code", "details")
     _, lost = split_fetched(view(s, d, "raw_pages_fx"))
-    return bad.unionByName(lost.select("source_url", F.lit(None).cast("bigint").alias("seq"), "code", "details"))
+    unread = ingest.parse_rejects(segment.segment_posts(pages(s, d)))
+    for more in (lost, unread):
+        bad = bad.unionByName(more.select("source_url", F.lit(None).cast("bigint").alias("seq"), "code", "details"))
+    return bad
 
 
 def q_upsert_last_wins(s, d):
@@ -288,7 +293,8 @@ def q_regions_migrate(s, d):
 
 
 def q_post_url(s, d):
-    r = view(s, d, "regions_fx").select("bbs", "listing_url")
+    first = F.min(F.struct("id", "listing_url"))
+    r = view(s, d, "regions_fx").groupBy("bbs").agg(first.alias("r")).select("bbs", F.col("r.listing_url").alias("listing_url"))
     p = view(s, d, "posts_fx").select("bbs", "msgid").join(r, "bbs")
     return p.select("bbs", "msgid", "listing_url", segment.post_url(F.col("listing_url"), F.col("bbs"), F.col("msgid"), NEW_HOST).alias("url"))
 
@@ -297,7 +303,7 @@ def q_post_url(s, d):
 
 
 def posts(s, d):
-    return spread(view(s, d, "posts_fx"))
+    return dealt(view(s, d, "posts_fx"), "msgid")
 
 
 def q_wage(s, d):
@@ -359,7 +365,7 @@ def q_dup_ratio(s, d):
 
 
 def pages(s, d):
-    return spread(view(s, d, "raw_pages_fx"))
+    return dealt(view(s, d, "raw_pages_fx"), "url")
 
 
 def q_strip_html(s, d):
@@ -436,7 +442,7 @@ def q_stream_alerts(s, d):
 def q_stream_ingest(s, d):
     """Pages arriving in files, merged batch by batch into the stored table."""
     p = view(s, d, "raw_pages_fx")
-    src = streams.as_feed(spread(p), 2)
+    src = streams.as_feed(dealt(p, "url"), 2)
     stored = cut_lineage(jobs(s, d), "stored")
     merged = streams.ingest_pages(
         streams.read_feed(s, src, p.schema, 1), stored, view(s, d, "gazetteer_fx"), NEW_HOST

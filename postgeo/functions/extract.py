@@ -265,7 +265,7 @@ def location_text(first_address: Column, store: Column, hint: Column) -> Column:
 PHONE = (
     r"(?<![A-Za-z0-9_])(?:1[-. ]?)?\(?([0-9]{3})\)?[-. ]{0,2}([0-9]{3})[-. ]?([0-9]{4})(?![A-Za-z0-9_])"
 )
-EMAIL = r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})"
+EMAIL = r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)"
 
 
 def contact_hashes(body: Column) -> Column:

@@ -66,23 +66,28 @@ def find_first(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def distinct_ci(arr: Column) -> Column:
-    """Order-keeping, case-insensitive distinct of a string array.
+    """Order-keeping, case-insensitive distinct of a string array."""
+    return first_of_each(arr, F.lower)
 
-    A fold, so that the lower-case form of each element is computed once.
+
+def bind(value: Column, then) -> Column:
+    """``then(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def first_of_each(arr: Column, key) -> Column:
+    """The first element for each value of ``key(element)``, in their old order.
+
+    Equal keys meet by sorting, so the cost is that of a sort, not a search per element.
     """
-    none = F.array().cast("array<string>")
-
-    def step(acc, x):
-        low = F.lower(x)
-        return F.when(F.array_contains(acc["seen"], low), acc).otherwise(
-            F.struct(
-                F.array_append(acc["kept"], x).alias("kept"),
-                F.array_append(acc["seen"], low).alias("seen"),
-            )
-        )
-
-    start = F.struct(none.alias("kept"), none.alias("seen"))
-    return F.aggregate(arr, start, step, lambda acc: acc["kept"])
+    keyed = F.sort_array(F.transform(arr, lambda x, i: F.struct(key(x).alias("key"), i.alias("i"), x.alias("x"))))
+
+    def firsts(s: Column) -> Column:
+        before = F.concat(F.array(F.lit(None)), F.transform(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), lambda e: e["key"]))
+        new = F.zip_with(s, before, lambda e, k: F.when(e.isNotNull() & (k.isNull() | (e["key"] != k)), F.struct(e["i"].alias("i"), e["x"].alias("x"))))
+        return F.transform(F.sort_array(F.filter(new, lambda e: e.isNotNull())), lambda e: e["x"])
+
+    return bind(keyed, firsts)
 
 
 # HTML ------------------------------------------------------------------------

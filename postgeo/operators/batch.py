@@ -152,7 +152,9 @@ def viewport_cells(viewports: DataFrame) -> DataFrame:
 
 
 def center_cells(centers: DataFrame) -> DataFrame:
-    dlat, dlng = geo.circle_margins(F.col("lat"), F.col("radius_km"))
+    """Cells around each centre, as far as ``reach_km`` if there is such a column."""
+    reach = F.col("reach_km" if "reach_km" in centers.columns else "radius_km")
+    dlat, dlng = geo.circle_margins(F.col("lat"), reach)
     df = pin(centers, dlat=dlat, dlng=dlng)
     df = pin(
         df,
@@ -218,17 +220,28 @@ def match_viewports(jobs: DataFrame, viewports: DataFrame, columns: list[str]) -
     return pairs.where(inside & filters_hold())
 
 
-def match_centers(jobs: DataFrame, centers: DataFrame, columns: list[str]) -> DataFrame:
-    """All (request, posting) pairs within the radius, with ``distance_km``."""
+def _near_centers(jobs: DataFrame, centers: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs in the box around each circle that meet its filters, with ``distance_km``."""
     pairs = cell_join(jobs, center_cells(centers), columns)
     lat, lng, c_lat, c_lng = F.col("lat"), F.col("lng"), F.col("q_lat"), F.col("q_lng")
     near = (F.abs(lat - c_lat) <= F.col("q_dlat")) & geo.lng_near(lng, c_lng, F.col("q_dlng"))
-    close = geo.with_ellipsoid_m(pairs.where(near & filters_hold()), "_m", lat, lng, c_lat, c_lng)
-    return (
-        close.where(F.col("_m") <= F.col("q_radius_km") * 1000.0)
-        .drop("_m")
-        .withColumn("distance_km", geo.haversine_m(lat, lng, c_lat, c_lng) / 1000.0)
-    )
+    return pin(pairs.where(near & filters_hold()), distance_km=geo.haversine_m(lat, lng, c_lat, c_lng) / 1000.0)
+
+
+def match_centers(jobs: DataFrame, centers: DataFrame, columns: list[str]) -> DataFrame:
+    """All (request, posting) pairs within the radius, with ``distance_km``. If the requests
+    have a ``cut``, only the rings up to it."""
+    pairs = _near_centers(jobs, centers, columns)
+    if "cut" in centers.columns:
+        pairs = pairs.where(_ring() <= F.col("q_cut"))
+    close = geo.with_ellipsoid_m(pairs, "_m", F.col("lat"), F.col("lng"), F.col("q_lat"), F.col("q_lng"))
+    return close.where(F.col("_m") <= F.col("q_radius_km") * 1000.0).drop("_m")
+
+
+def surely_inside(jobs: DataFrame, centers: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs whose distance on the sphere leaves no doubt about that on the ellipsoid: the
+    two differ by less than 0.6 %."""
+    return _near_centers(jobs, centers, columns).where(F.col("distance_km") <= F.col("q_radius_km") * 0.99)
 
 
 # --- answers -------------------------------------------------------------------------------
@@ -236,11 +249,12 @@ def match_centers(jobs: DataFrame, centers: DataFrame, columns: list[str]) -> Da
 
 def _with_cutoff(requests: DataFrame, matches: DataFrame, bucket: Column) -> DataFrame:
     """Requests with ``cut``: the last bucket of the ranking that can still hold
-    one of their first ``lim`` postings.
+    one of their first ``lim`` postings, ALL where ``matches`` has fewer than ``lim``.
 
-    ``bucket`` is a whole number that grows along the ranking. Counting per bucket
-    is a combinable aggregation over grouped postings, so finding the cut costs no
-    sort, and only the rows up to the cut are ranked afterwards.
+    ``bucket`` is a whole number that grows along the ranking; ``matches`` may leave out
+    doubtful pairs, which can only move the cut outwards. Counting per bucket is a
+    combinable aggregation over grouped postings, so finding the cut costs no sort, and
+    only the rows up to the cut are ranked afterwards.
     """
     per_bucket = matches.groupBy("q_id", bucket.alias("bucket")).agg(F.sum("n").alias("n"))
     upto = Window.partitionBy("q_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -248,11 +262,12 @@ def _with_cutoff(requests: DataFrame, matches: DataFrame, bucket: Column) -> Dat
     cut = (
         before.join(requests.select("q_id", "lim"), "q_id")
         .where(F.col("before") < F.col("lim"))
-        .groupBy("q_id")
-        .agg(F.max("bucket").alias("cut"))
+        .groupBy("q_id", "lim")
+        .agg(F.max("bucket").alias("last"), F.sum("n").alias("reached"))
+        .select("q_id", F.when(F.col("reached") >= F.col("lim"), F.col("last")).alias("cut"))
     )
     # written: the requests are used twice below, the count should run once
-    return cut_lineage(requests.join(cut, "q_id"), "cutoff")
+    return cut_lineage(requests.join(cut, "q_id", "left").withColumn("cut", F.coalesce("cut", F.lit(ALL))), "cutoff")
 
 
 def _age_bucket(posted_at: Column) -> Column:
@@ -261,6 +276,7 @@ def _age_bucket(posted_at: Column) -> Column:
 
 
 RINGS = 64
+ALL = 1 << 42
 
 
 def _ring() -> Column:
@@ -292,9 +308,11 @@ def nearby_batch(
     """Nearest ``lim`` postings of every circle, ranked by ``rn``."""
     asked = accepted(check_centers(centers))
     alike = group_alike(jobs)
-    asked = _with_cutoff(asked, match_centers(alike, asked, alike.columns), _ring())
+    asked = _with_cutoff(asked, surely_inside(alike, asked, alike.columns), _ring())
+    # cells and candidates only as far as the last ring that counts
+    asked = asked.withColumn("reach_km", F.col("radius_km") * F.least(F.lit(1.0), (F.col("cut") + 1) / F.lit(float(RINGS))))
     slim = keep_showable(jobs.select(*_needed(columns)), [F.col("id").asc()])
-    pairs = match_centers(slim, asked, slim.columns).where(_ring() <= F.col("q_cut"))
+    pairs = match_centers(slim, asked, slim.columns)
     ranked = top_rows(
         pairs, ["q_id"], [F.col("distance_km").asc(), F.col("id").asc()], X.LIMIT_MAX, F.col("id")
     )

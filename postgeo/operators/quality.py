@@ -45,15 +45,24 @@ def review_history(jobs: DataFrame, corrections: DataFrame) -> DataFrame:
     )
 
 
+HOST_SALTS = 64
+
+
 def remove_blocked(jobs: DataFrame, blocklist: DataFrame) -> DataFrame:
-    """Take-downs by address or by host."""
-    hosts = blocklist.where(F.col("host").isNotNull()).select("host").distinct()
+    """Take-downs by address or by host. An address without a readable host stays.
+
+    One host may hold most postings: each blocked host stands once per salt, so its
+    postings meet it in as many places.
+    """
     urls = blocklist.where(F.col("source_url").isNotNull()).select("source_url").distinct()
+    hosts = blocklist.where(F.col("host").isNotNull()).select(F.col("host").alias("_host")).distinct()
+    salted = hosts.select("_host", F.explode(F.array(*[F.lit(i).cast("long") for i in range(HOST_SALTS)])).alias("_salt"))
     return (
-        jobs.withColumn("host", F.parse_url("source_url", F.lit("HOST")))
-        .join(urls, "source_url", "left_anti")
-        .join(hosts, "host", "left_anti")
-        .drop("host")
+        jobs.join(urls, "source_url", "left_anti")
+        .withColumn("_host", F.try_parse_url("source_url", F.lit("HOST")))
+        .withColumn("_salt", F.pmod(F.xxhash64("source_url"), F.lit(HOST_SALTS)))
+        .join(salted, ["_host", "_salt"], "left_anti")
+        .select(*jobs.columns)
     )
 
 

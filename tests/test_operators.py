@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from postgeo.functions import geo
-from postgeo.operators import batch, cluster, geocode, ingest, search
+from postgeo.operators import batch, cluster, geocode, ingest, quality, search
 from postgeo.sources.tables import write_snapshot
 
 JOB = "id BIGINT, msgid BIGINT, title STRING, wage_min INT, wage_max INT, lat DOUBLE, lng DOUBLE, source_url STRING, confidence DOUBLE, category STRING, region_hint STRING, posted_at TIMESTAMP"
@@ -233,3 +233,28 @@ def test_place_search(spark):
     terms = spark.createDataFrame([(1, "main "), (2, "MAIN s"), (3, "12 ma"), (4, "zzz"), (5, "")], "q_id BIGINT, term STRING")
     got = sorted((r["q_id"], r["rank"], r["name"]) for r in geocode.place_search(terms, gaz, 5).collect())
     assert got == [(1, 1, "Main Square"), (1, 2, "12 Main Street"), (2, 1, "Main Square"), (2, 2, "12 Main Street"), (3, 1, "12 Main Street")]
+
+
+def test_blocked_hosts_that_occur_and_odd_addresses(spark):
+    rows = [(i, f"https://bad.example/p{i}") for i in range(300)] + [(400, "https://good.example/x"), (401, "https://[bad"), (402, None), (403, "https://good.example/y")]
+    df = spark.createDataFrame(rows, "id LONG, source_url STRING")
+    block = spark.createDataFrame([(None, "bad.example"), ("https://good.example/y", None), (None, None)], "source_url STRING, host STRING")
+    got = quality.remove_blocked(df, block)
+    assert got.columns == df.columns and sorted(r["id"] for r in got.collect()) == [400, 401, 402]
+
+
+def test_take_in_returns_what_it_refuses(spark):
+    from postgeo.plans import flow
+    from postgeo.sources import schemas
+
+    pages = spark.createDataFrame(
+        [("http://x/listing.php?bbs=4", 4, "<body><div>No.7</div><h2>Cook</h2><p>We need a cook in Vancouver, evenings and weekends, good pay</p></body>"),
+         ("http://x/none", 4, "<body>nothing that looks like a post of a board, only some words</body>"), ("http://x/gone", 4, None)],
+        "url STRING, bbs INT, html STRING",
+    ).withColumn("fetched_at", F.current_timestamp())
+    stored = spark.createDataFrame([], schemas.JOBS)
+    places = spark.createDataFrame([("Vancouver, BC, Canada", 49.0, -123.0, 0.8)], "name STRING, lat DOUBLE, lng DOUBLE, importance DOUBLE")
+    merged, refused = flow.take_in(pages, stored, places, "http://x")
+    codes = {r["source_url"]: r["code"] for r in refused.collect()}
+    assert codes["http://x/none"] == "PARSE_FAILED" and codes["http://x/gone"] == "FETCH_FAILED"
+    assert merged.count() + sum(c not in ("PARSE_FAILED", "FETCH_FAILED") for c in codes.values()) == 1

@@ -1,5 +1,6 @@
 """Golden rows and differential checks of the text rules."""
 
+import hashlib
 import random
 import re
 
@@ -58,53 +59,62 @@ def test_store_name(spark):
     assert got == ["Mika Sushi hiring", "虹カフェ東", "s Big Pizza"]
 
 
-def plain_addresses(text):
-    """The rules in plain Python: every pattern with ordinary case folding."""
-    out = []
-    space = r"\s"
-    for p in X.ADDRESS_LABELS:
-        for m in re.findall(p.replace("<W>", space) + r"([^\n]+)", text, re.I):
-            a = re.sub(r"\s+", " ", m.strip()).strip()
-            if len(a) > 5 and "@" not in a and "http" not in a.lower():
-                out.append(a)
-    run, post = r"[A-Za-z\s]", X.POSTCODE.replace("<W>", space).replace("<D>", r"\d")
-    tail = rf"[,\s]+{run}+(?:,\s*)?"
-    for p in (
-        rf"(\d+[A-Za-z]?\s+{run}+(?:{X.STREET_WORDS_LONG}){tail}(?:{post}|{X.PROVINCES})?)",
-        rf"(\d+[A-Za-z]?\s+{run}+(?:{X.STREET_WORDS})[,\s]+{run}+)",
-        rf"({run}+(?:{X.STREET_WORDS}){tail}(?:{post}|{X.PROVINCES})?)",
-    ):
-        out += [m.strip() for m in re.findall(p, text, re.I) if len(m.strip()) > 10]
-    for p in (
-        rf"([A-Z][a-z]+(?:{X.AREA_ENDINGS})[,\s]+(?:{X.AREA_CITIES}))",
-        rf"([A-Z][a-z]+(?:・|/|\s+)[A-Z][a-z]+(?:{X.AREA_WORDS}))",
-    ):
-        out += [m.strip() for m in re.findall(p, text, re.I) if len(m.strip()) > 5]
-    p = rf"([A-Za-z\s&]+(?:{'|'.join(X.STORE_WORDS_ADDRESS)})[,\s]+)?(\d+[A-Za-z]?\s+{run}+(?:{X.STREET_WORDS}){tail}(?:{post})?)"
-    for store, street in re.findall(p, text, re.I):
-        both = (store.strip() + " " + street.strip()).strip()
-        if len(both) > 10:
-            out.append(both)
-    seen, unique = set(), []
-    for a in out:
-        if a.lower() not in seen:
-            seen.add(a.lower())
-            unique.append(a)
-    return unique
-
-
-def test_addresses_equal_plain_rules(spark):
+ADDRESS_ROWS = [
+    # text, all rules, strict rules
+    ("Address: 10 King Street, Vancouver BC", ["10 King Street, Vancouver BC", "King Street, Vancouver BC"], ["10 King Street, Vancouver BC"]),
+    ("Location: a@b.c", [], []),
+    ("Address: http://x.y/zzzz", [], []),
+    ("Address: abc", [], []),
+    ("come to 4518 Hastings St, Burnaby BC now", ["4518 Hastings St, Burnaby BC now", "Hastings St, Burnaby BC now"], ["4518 Hastings St, Burnaby BC now"]),
+    ("Joy Cafe, 55 Main Rd, Surrey", ["55 Main Rd, Surrey", "Main Rd, Surrey", "Joy Cafe, 55 Main Rd, Surrey"], ["55 Main Rd, Surrey"]),
+    ("Yaletown Vancouver", ["Yaletown Vancouver"], ["Yaletown Vancouver"]),
+    ("Oak Bay, Victoria", [], []),
+    ("Surrey・Langleyエリア", ["Surrey・Langleyエリア"], ["Surrey・Langleyエリア"]),
+    ("must be strong", ["must be strong"], []),
+    ("work location: 7b Oak Ave, Delta", ["7b Oak Ave, Delta", "b Oak Ave, Delta"], ["7b Oak Ave, Delta"]),
+    ("no address here", [], []),
+]
+
+
+def test_address_rows(spark):
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(ADDRESS_ROWS)], "i INT, t STRING")
+    for mode, at in (("reference", 1), ("strict", 2)):
+        got = {r["i"]: r["a"] for r in extract.with_addresses(df, "t", "a", mode).collect()}
+        for i, row in enumerate(ADDRESS_ROWS):
+            assert got[i] == row[at], row[0]
+
+
+def test_address_properties(spark):
+    """Any text: what is found stands in it, is unique by letters, long enough, and no link."""
     rng = random.Random(7)
     bits = [
         "12", "4518 ", "7b ", "Hastings ", "st", " St, ", "Street ", "AVE", "road ", " rd ", ", ", ",,", "\n", "  ", "　", "Burnaby",
         "V5C 2K4", "BC", "Address: ", "location ", "勤務地：", "Cafe, ", "Sushi ", "& ", "Yaletown Vancouver", "Surrey・Langleyエリア",
         "north/south area", "x@y.z", "http://a", "must be ", "é", "5", "Kingſt ", "Work Location: ", "１２ ",
     ]
-    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(2000)]
     df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING").repartition(8)
-    got = {r["i"]: r["a"] for r in extract.with_addresses(df, "t", "a").collect()}
-    bad = [(t, got[i], plain_addresses(t)) for i, t in enumerate(texts) if got[i] != plain_addresses(t)]
-    assert not bad, bad[:3]
+    squeezed = [re.sub(r"[\s,]+", "", t) for t in texts]
+    for r in extract.with_addresses(df, "t", "a").collect():
+        low = [a.lower() for a in r["a"]]
+        assert len(set(low)) == len(low)
+        assert all(len(a) > 5 and a == a.strip() for a in r["a"])
+        assert all(re.sub(r"[\s,]+", "", a) in squeezed[r["i"]] for a in r["a"])
+    labelled = extract.with_addresses(df.select("i", F.concat(F.lit("Address: @"), "t").alias("t")), "t", "a")
+    assert not any("@" in a.split("\n")[0][:1] for r in labelled.collect() for a in r["a"])
+
+
+def test_many_address_lines(spark):
+    text = "\n".join(f"Address: {i} Main Street, Vancouver" for i in range(8000))
+    got = extract.with_addresses(spark.createDataFrame([(text,)], "t STRING"), "t", "a").first()["a"]
+    assert got[:2] == ["0 Main Street, Vancouver", "1 Main Street, Vancouver"] and len(got) > 8000
+
+
+def test_long_mail_address(spark):
+    mail = "a" * 90 + "@" + ".".join("x" * 5 for _ in range(14)) + ".example"
+    df = spark.createDataFrame([(f"write to {mail}, please",)], "t STRING")
+    want = hashlib.sha256(f"mail:{mail}".encode()).hexdigest()
+    assert df.select(extract.contact_hashes(F.col("t")).alias("h")).first()["h"] == [want]
 
 
 def test_long_run_is_linear(spark):
@@ -141,6 +151,38 @@ def test_segments(spark):
     assert rows[13]["title"] is None and rows[13]["body_source"] == "page"
 
 
+def posts_of(spark, *pages):
+    rows = [(f"http://x/topics.php?msgid={n}", 4, html) for n, html in pages]
+    df = spark.createDataFrame(rows, "url STRING, bbs INT, html STRING").withColumn("fetched_at", F.current_timestamp())
+    return {r["msgid"]: r for r in segment.segment_posts(df).collect()}
+
+
+def test_marker_inside_a_text(spark):
+    html = "<html><body><td>[12] No.12 2024</td><p>We look for a friendly cook, evenings and weekends.</p><td>[13] No.13 2024</td><p>other</p></body></html>"
+    rows = posts_of(spark, (12, html))
+    assert list(rows) == [12] and rows[12]["body"].startswith("We look for a friendly cook")
+
+
+def test_container_ends_at_its_own_tag(spark):
+    long = "a long text that goes on behind the inner element, well over fifty"
+    rows = posts_of(spark, (20, f'<body><div class="content"><div>inner</div>{long}</div>tail</body>'), (21, f'<body>head<div class="content">{long}<DIV></body>'))
+    assert (rows[20]["body"], rows[20]["body_source"]) == ("inner" + long, "container")
+    assert rows[21]["body_source"] == "page"
+
+
+def test_body_from_the_whole_segment(spark):
+    loose = "x1 <b>y2</b> z3 " * 5
+    rows = posts_of(spark, (30, f"<body><div>No.30 {loose}<h2>Cook</h2></body>"))
+    assert rows[30]["title"] == "Cook" and rows[30]["body_source"] == "segment" and len(rows[30]["body"]) >= 50
+
+
+def test_refused_posts_and_nameless_records(spark):
+    df = spark.createDataFrame([("u", 1, "", None), ("u", None, "t", "b"), ("u", 2, "t", None)], "url STRING, msgid BIGINT, title STRING, body STRING")
+    assert {(r["msgid"], r["code"]) for r in ingest.parse_rejects(df).collect()} == {(1, "PARSE_FAILED"), (None, "PARSE_FAILED")}
+    rec = spark.createDataFrame([(None, 1), ("u", None), ("u", 1)], "source_url STRING, msgid BIGINT").selectExpr("*", "49d lat", "-123d lng", "1 wage_min", "2 wage_max")
+    assert [r["c"] is None for r in rec.select(ingest.reject_code().alias("c")).collect()] == [False, False, True]
+
+
 def test_listing(spark):
     html = '<a href="topics.php?msgid=7">No.9</a><a href="x?bbs=1&msgid=11">.</a><script>No.5</script> No.7'
     assert one(spark, html, segment.listing_msgids) == [11, 9, 7]

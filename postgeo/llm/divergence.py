@@ -11,10 +11,10 @@ from postgeo.session import cut_lineage
 
 #: The commonest words of the languages with references.
 COMMON = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los"],
+    "en": ["the", "of", "and", "to", "in"],
+    "de": ["der", "die", "und", "in", "den"],
+    "fr": ["de", "la", "le", "et", "les"],
+    "es": ["de", "la", "que", "el", "en"],
 }
 WORDS = sorted({w for ws in COMMON.values() for w in ws})
 #: Digits count with the small letters: numbers and keys inside prose are no sign of junk.
@@ -37,29 +37,61 @@ def _equals(word: str):
     return lambda x: x == word
 
 
-def _covered(windows: Column) -> Column:
-    """Words inside windows of three that occur twice or more; windows: their hashes."""
-    first = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    same = F.zip_with(first, F.slice(first, F.lit(2), F.greatest(F.size(first) - 1, F.lit(0))), lambda a, b: a["h"] == b["h"])
-    # a window repeats if it equals its neighbour on either side of the sorted list
-    marked = F.zip_with(
-        F.zip_with(first, same, lambda w, e: F.struct(w["i"].alias("i"), F.coalesce(e, F.lit(False)).alias("e"))),
-        F.concat(F.array(F.lit(False)), F.slice(same, F.lit(1), F.greatest(F.size(same) - 1, F.lit(0)))),
-        lambda w, e: F.struct(w["i"].alias("i"), (w["e"] | F.coalesce(e, F.lit(False))).alias("e")),
-    )
-    at = F.sort_array(F.transform(F.filter(marked, lambda w: w["e"]), lambda w: w["i"]))
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _marked(ordered: Column, same) -> Column:
+    """Elements of a sorted array that equal a neighbour in the sense of ``same``.
+
+    ``ordered`` is a column or lambda variable, so naming it again costs nothing.
+    """
+    n = F.size(ordered)
+    after = F.zip_with(ordered, F.slice(ordered, F.lit(2), n), lambda a, b: F.coalesce(same(a, b), F.lit(False)))
+
+    def either(after: Column) -> Column:
+        before = F.concat(F.array(F.lit(False)), F.slice(after, F.lit(1), F.greatest(n - 1, F.lit(0))))
+        marks = F.zip_with(after, before, lambda a, b: a | F.coalesce(b, F.lit(False)))
+        return F.filter(F.zip_with(ordered, marks, lambda x, e: F.when(e, x)), lambda x: x.isNotNull())
+
+    return _let(after, either)
+
+
+def _places(windows: Column) -> Column:
+    """Bits that number the windows: the smallest 2**k - 1 that is no less than their count."""
+    return F.coalesce(F.pow(F.lit(2.0), F.ceil(F.log2(F.size(windows) + 1.0))).cast("long") - 1, F.lit(0).cast("long"))
+
+
+def _packed(windows: Column, low: Column) -> Column:
+    """Sorted numbers with a window's hash above and its place in the ``low`` bits."""
+    return F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
+
+
+def _covered(windows: Column, packed: Column, low: Column) -> Column:
+    """Words inside windows of three that occur twice or more.
+
+    The upper bits of the packed numbers find the windows that may repeat; only these are
+    compared by their whole hash.
+    """
+    place = lambda x: x.bitwiseAND(low).cast("int")
+    maybe = _marked(packed, lambda a, b: F.bitwise_not(low).bitwiseAND(a.bitwiseXOR(b)) == 0)
+    whole = F.sort_array(F.transform(maybe, lambda x: F.struct(F.get(windows, place(x)).alias("h"), place(x).alias("i"))))
+    at = F.sort_array(F.transform(_let(whole, lambda w: _marked(w, lambda a, b: a["h"] == b["h"])), lambda w: w["i"]))
     steps = F.aggregate(
         at, F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
         lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")),
+        lambda s: s["n"],
     )
-    return steps["n"]
+    return steps
 
 
 def measure(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """``keep`` plus the counts and the two histograms (shares by CLASSES; by WORDS and the rest)."""
     t = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    words = F.btrim("_text", F.lit(" \t\n\x0b\x0c\r"))
     t = pin(
-        t, _words=F.filter(F.split("_text", GAP), lambda w: w != ""), _rest=F.regexp_replace("_text", r"\p{L}+", ""),
+        t, _words=F.when(F.length(words) > 0, F.split(words, GAP)).otherwise(F.array().cast("array<string>")), _rest=F.regexp_replace("_text", r"\p{L}+", ""),
         _lines=F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         _upper=F.length(F.regexp_replace("_text", r"\P{Lu}+", "")), _chars=F.length("_text"),
     )
@@ -79,8 +111,11 @@ def measure(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     other = F.col("_chars") - alike - F.col("_space") - F.col("_point") - F.col("n_symbols")
     w = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     counts = [F.size(F.filter("_common", _equals(v))) / w for v in WORDS]
+    # sorted in a step of its own, where generated code sorts plain numbers
+    t = pin(t, _low=F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), _places(F.col("_windows"))).otherwise(F.lit(-1).cast("long")))
+    t = pin(t, _packed=F.when(F.col("_low") >= 0, _packed(F.col("_windows"), F.col("_low"))))
     repeated = F.when(
-        F.size(F.array_distinct("_windows")) < F.size("_windows"), _covered(F.col("_windows"))
+        F.col("_low") >= 0, _covered(F.col("_windows"), F.col("_packed"), F.col("_low"))
     ).otherwise(F.lit(0).cast("long"))
     return t.select(
         *keep, "n_words", (F.col("_chars") - F.col("_space")).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines",

@@ -9,6 +9,7 @@ from postgeo.functions.text import strip_html
 from postgeo.operators import batch, cluster, crawl, dedup, geocode, ingest, quality, regions, search, segment
 from postgeo.plans import flow
 from postgeo.sources.schemas import UPSERT_FIELDS
+from postgeo.sources import snapshots
 from postgeo.sources.tables import split_fetched
 
 from postgeo.session import cut_lineage, scratch_path
@@ -443,11 +444,12 @@ def q_stream_ingest(s, d):
     """Pages arriving in files, merged batch by batch into the stored table."""
     p = view(s, d, "raw_pages_fx")
     src = streams.as_feed(dealt(p, "url"), 2)
-    stored = cut_lineage(jobs(s, d), "stored")
-    merged = streams.ingest_pages(
-        streams.read_feed(s, src, p.schema, 1), stored, view(s, d, "gazetteer_fx"), NEW_HOST
+    root = scratch_path(s, "snapshot")
+    snapshots.publish(jobs(s, d), root, 8)
+    streams.ingest_pages(
+        streams.read_feed(s, src, p.schema, 1), root, view(s, d, "gazetteer_fx"), NEW_HOST, scratch_path(s, "state")
     )
-    return tidy(merged.select("source_url", *UPSERT_FIELDS))
+    return tidy(snapshots.read_snapshot(s, root).select("source_url", *UPSERT_FIELDS))
 
 
 def all_queries() -> dict:

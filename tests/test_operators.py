@@ -258,3 +258,55 @@ def test_take_in_returns_what_it_refuses(spark):
     codes = {r["source_url"]: r["code"] for r in refused.collect()}
     assert codes["http://x/none"] == "PARSE_FAILED" and codes["http://x/gone"] == "FETCH_FAILED"
     assert merged.count() + sum(c not in ("PARSE_FAILED", "FETCH_FAILED") for c in codes.values()) == 1
+
+
+def _board_page(n, city):
+    return (f"http://x/listing.php?bbs=4&p={n}", 4, f"<body><div>No.{n}</div><h2>Cook {n}</h2><p>We need a cook in {city}, evenings and weekends, $2{n % 10}/hr</p></body>", f"2024-01-0{1 + n % 9} 00:00:00")
+
+
+def test_stream_stops_and_goes_on_in_a_new_session(spark, tmp_path):
+    from postgeo.sources import schemas, snapshots
+    from postgeo.streaming import jobs as streams
+
+    schema = "url STRING, bbs INT, html STRING, fetched_at STRING"
+    places = spark.createDataFrame([("Vancouver, BC, Canada", 49.0, -123.0, 0.8)], "name STRING, lat DOUBLE, lng DOUBLE, importance DOUBLE")
+    batches = [[_board_page(n, "Vancouver") for n in range(1, 6)], [_board_page(n, "Victoria") for n in range(4, 9)] + [("http://x/gone", 4, None, "2024-01-09 00:00:00")]]
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    tables = []
+    for way in ("stopped", "through"):
+        root, feed, state = (str(tmp_path / f"{way}-{x}") for x in ("root", "feed", "state"))
+        snapshots.publish(spark.createDataFrame([], schemas.JOBS), root, 16)
+        session = spark
+        for rows in batches:
+            df = spark.createDataFrame(rows, schema).coalesce(1)
+            df.write.mode("append").parquet(feed)
+            if way == "stopped":  # drained, and started again for the next file
+                session = spark.newSession()
+                session.conf.set("spark.sql.session.timeZone", "UTC")
+                streams.ingest_pages(streams.read_feed(session, feed, df.schema, 1), root, session.createDataFrame(places.toPandas()), "http://x", state, now)
+        if way == "through":
+            streams.ingest_pages(streams.read_feed(session, feed, df.schema, 1), root, places, "http://x", state, now)
+        got = snapshots.read_snapshot(spark, root)
+        tables.append(sorted(map(str, got.select("source_url", "title", "region_hint", "wage_min").collect())))
+        assert got.count() == 8 and ingest.duplicate_ids(got).isEmpty()
+        assert [tuple(r)[:2] for r in streams.cursors(spark, root).collect()] == [(4, 8)]
+        assert "FETCH_FAILED" in {r["code"] for r in snapshots.read_side(spark, root, "refused").collect()}
+    assert tables[0] == tables[1]
+
+
+def test_a_batch_writes_only_its_bucket_and_counts_once(spark, tmp_path):
+    import os
+
+    from postgeo.sources import schemas, snapshots
+
+    root = str(tmp_path / "snap")
+    rows, df = jobs(spark, 200, seed=3)
+    stored = df.withColumn("source_url", F.concat(F.lit("u"), F.col("id"))) if "source_url" not in df.columns else df
+    full = spark.createDataFrame([], schemas.JOBS).unionByName(stored, allowMissingColumns=True)
+    snapshots.publish(full, root, 8)
+    one = full.limit(1).withColumn("title", F.lit("changed")).withColumn("seq", F.lit(1).cast("long"))
+    for _ in range(2):
+        snapshots.merge_batch(spark, root, one, 0)
+    assert len([d for d in os.listdir(f"{root}/data/epoch=0") if d.startswith("bucket=")]) == 1
+    got = snapshots.read_snapshot(spark, root)
+    assert got.count() == 200 and got.where("title = 'changed'").count() == 1

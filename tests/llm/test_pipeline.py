@@ -46,3 +46,18 @@ def test_whole_run(spark):
     assert set(out.columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
     per = out.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
     assert per and all(r["sum(length)"] == r["max(doc_tokens)"] for r in per)
+
+
+def test_stages_take_odd_tables(spark, documents):  # noqa: F811
+    """Nulls anywhere, clashing extra columns, repeated rows, and no rows at all."""
+    names = ["score", "kept", "host", "path", "lang_pred", "held_out", "ids", "uid", "start", "length", "evidence", "component_id", "n", "sid", "part", "x", "p", "_row"]
+    odd = documents
+    for i, n in enumerate(names):
+        odd = odd.withColumn(n, documents.text if i % 2 else documents.n_chars)
+    for stage in (corpus_pipeline.good_ones, corpus_pipeline.known_language, corpus_pipeline.one_of_each):
+        out = stage(spark, odd, SMALL)
+        assert out.dtypes == odd.dtypes
+        assert set(map(tuple, out.collect())) <= set(map(tuple, odd.collect()))
+        assert stage(spark, odd.limit(0), SMALL).count() == 0
+    assert corpus_pipeline.packed(spark, odd, SMALL).select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
+    assert corpus_pipeline.packed(spark, odd.limit(0), SMALL).count() == 0

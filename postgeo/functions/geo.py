@@ -10,10 +10,10 @@ from ..operators.pin import pin
 from .fixed import EARTH_A, EARTH_F, EARTH_MEAN
 
 # Grid levels for the cell joins. A query area uses the finest level on which it
-# spans at most SPAN cells per axis, so it never covers more than (SPAN+1)^2
-# cells whatever its size; the coarsest level covers the whole globe.
+# touches at most CELLS cells, whatever its size and shape, so long thin boxes do
+# not fall back to cells of their length; the coarsest level covers the whole globe.
 LEVEL_SIZES = [0.01 * 4**k for k in range(8)]
-SPAN = 4
+CELLS = 64
 _ROW = 1 << 20
 _LEVEL = 1 << 42
 
@@ -126,10 +126,14 @@ def point_cells(lat, lng) -> Column:
 
 
 def box_level(min_lng, min_lat, max_lng, max_lat) -> Column:
-    span = F.greatest(max_lng - min_lng, max_lat - min_lat)
-    out = F.when(span <= SPAN * LEVEL_SIZES[0], F.lit(0))
+    def fits(k: int) -> Column:
+        # a span of n cells touches at most n + 1 of them, rounded up
+        wide, high = ((d / LEVEL_SIZES[k] + 2) for d in (max_lng - min_lng, max_lat - min_lat))
+        return wide * high <= CELLS
+
+    out = F.when(fits(0), F.lit(0))
     for k in range(1, len(LEVEL_SIZES) - 1):
-        out = out.when(span <= SPAN * LEVEL_SIZES[k], F.lit(k))
+        out = out.when(fits(k), F.lit(k))
     return out.otherwise(F.lit(len(LEVEL_SIZES) - 1))
 
 

@@ -23,6 +23,8 @@ UNKNOWN = "unknown"
 CHANCE, CONFIRMED = 0.5, 0.6
 #: At most about so many paragraphs of the corpus serve as examples of the unknown class.
 NEGATIVES = 2000
+#: Such an example serves with so many characters at most; texts that are scanned are whole.
+NEGATIVE_CHARS = 2000
 #: Licence notices by family.
 TEMPLATES = {
     "MIT": [
@@ -214,7 +216,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
     drawn = texts.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < int(min(1.0, negatives / max(1, n)) * (1 << 20)))
     line = F.get(F.filter(F.split(text_col, "\n"), lambda x: F.length(x) > 0), F.lit(0))
     wording = re.compile(r"licen[cs]e|copyright|permission|redistribut|gpl|apache|mozilla|creative commons|cc by|public domain|spdx|rights reserved", re.I)
-    some = [r[0][:2000] for r in drawn.select(line).where(line.isNotNull()).distinct().collect()]
+    some = [r[0] for r in drawn.where(line.isNotNull()).select(F.substring(line, 1, NEGATIVE_CHARS)).distinct().collect()]
     scanner = train(sorted(t for t in some if not wording.search(t)))
     pairs = scanner.pair_hashes()
 

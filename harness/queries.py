@@ -418,7 +418,7 @@ def q_stream_new_posts(s, d):
     feed = view(s, d, "incoming_fx").select(
         "source_url", "msgid", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("seen_at")
     )
-    src = streams.as_feed(feed, 4)
+    src = streams.as_feed(feed)
     out = streams.first_seen(streams.read_feed(s, src, feed.schema), "1 hour")
     return streams.run_to_table(out, "append").select("source_url", "msgid")
 
@@ -426,7 +426,7 @@ def q_stream_new_posts(s, d):
 def q_stream_crawl_metrics(s, d):
     """Closed 15-minute windows of the crawl events."""
     events = view(s, d, "crawl_events_fx")
-    src = streams.as_feed(events, 1)
+    src = streams.as_feed(events)
     out = streams.crawl_metrics(streams.read_feed(s, src, events.schema), "30 minutes")
     return tidy(streams.run_to_table(out, "append"))
 
@@ -434,7 +434,7 @@ def q_stream_crawl_metrics(s, d):
 def q_stream_alerts(s, d):
     """Saved areas hit by new postings as they arrive."""
     new = jobs(s, d).select("source_url", *batch.TESTED)
-    src = streams.as_feed(new, 4)
+    src = streams.as_feed(new)
     areas = cut_lineage(batch.viewport_cells(batch.accepted(batch.check_viewports(view(s, d, "viewports_fx")))), "areas")
     out = streams.alerts(streams.read_feed(s, src, new.schema), areas)
     return tidy(streams.run_to_table(out, "append"))

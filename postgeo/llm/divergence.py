@@ -11,10 +11,10 @@ from postgeo.session import cut_lineage
 
 #: The commonest words of the languages with references.
 COMMON = {
-    "en": ["the", "of", "and", "to", "in"],
-    "de": ["der", "die", "und", "in", "den"],
-    "fr": ["de", "la", "le", "et", "les"],
-    "es": ["de", "la", "que", "el", "en"],
+    "en": ["the", "of", "and", "to", "in", "a", "is", "that"],
+    "de": ["der", "die", "und", "in", "den", "von", "zu", "das"],
+    "fr": ["de", "la", "le", "et", "les", "des", "en", "un"],
+    "es": ["de", "la", "que", "el", "en", "y", "a", "los"],
 }
 WORDS = sorted({w for ws in COMMON.values() for w in ws})
 #: Digits count with the small letters: numbers and keys inside prose are no sign of junk.
@@ -33,15 +33,23 @@ def _less(text: str, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def _equals(word: str):
-    return lambda x: x == word
-
-
 def _let(value: Column, then) -> Column:
     """``then(value)``, with the value computed once however often it is used."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def _counted(ordered: Column) -> Column:
+    """Map from each value of a sorted array to its count, in one pass over its runs."""
+    new = lambda x, i: (i == 0) | (x != F.get(ordered, i - 1))
+    starts = F.filter(F.transform(ordered, lambda x, i: F.when(new(x, i), i)), lambda i: i.isNotNull())
+
+    def lengths(starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(ordered)))
+        return F.zip_with(starts, F.slice(ends, F.lit(1), F.size(starts)), lambda a, b: b - a)
+
+    return F.map_from_arrays(F.array_distinct(ordered), _let(starts, lengths))
+
+
 def _marked(ordered: Column, same) -> Column:
     """Elements of a sorted array that equal a neighbour in the sense of ``same``.
 
@@ -103,14 +111,15 @@ def measure(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
         n_symbols=_less("_rest", SYMBOLS).cast("long"), _point=_less("_rest", POINTS),
         n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         _windows=F.when(n > 2, F.transform(F.sequence(F.lit(0), n - 3), window)).otherwise(F.array().cast("array<long>")),
-        _common=F.filter("_words", lambda w: w.isin(WORDS)),
+        _common=F.sort_array(F.filter("_words", lambda w: w.isin(WORDS))),
     ).drop("_words", "_rest", "_lines")
     c = F.greatest(F.col("_chars"), F.lit(1)).cast("double")
     alike = F.col("_letters") + F.col("_digit")
     named = [alike - F.col("_upper"), F.col("_upper"), F.col("_space"), F.col("_point"), F.col("n_symbols")]
     other = F.col("_chars") - alike - F.col("_space") - F.col("_point") - F.col("n_symbols")
     w = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    counts = [F.size(F.filter("_common", _equals(v))) / w for v in WORDS]
+    t = pin(t, _counts=_counted(F.col("_common")))
+    counts = [F.coalesce(F.try_element_at("_counts", F.lit(v)), F.lit(0)) / w for v in WORDS]
     # sorted in a step of its own, where generated code sorts plain numbers
     t = pin(t, _low=F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), _places(F.col("_windows"))).otherwise(F.lit(-1).cast("long")))
     t = pin(t, _packed=F.when(F.col("_low") >= 0, _packed(F.col("_windows"), F.col("_low"))))

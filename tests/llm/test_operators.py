@@ -320,6 +320,18 @@ def test_divergence_keeps_prose_and_drops_junk(spark):
     assert all(kept[i] for i in range(60)) and not any(kept[60 + i] for i in range(3))
 
 
+def test_divergence_drops_texts_without_common_words(spark):
+    """Letters, spaces and points as in prose, but none of the commonest words."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(9)
+    common = {w for r in divergence.COMMON.values() for w in r} | set("a is that von zu das des en un y los".split())
+    tail = sorted({w for r in table.where("lang = 'en'").collect() for w in r.text.split() if w.isalpha() and w.lower() not in common})
+    salad = [(10**6 + i, " ".join(rng.choice(tail) + "," * (k % 12 == 0) for k in range(300)), "en") for i in range(5)]
+    judged = divergence.judge(table.union(spark.createDataFrame(salad, table.schema))).where("doc_id >= 1000000").collect()
+    assert len(judged) == 5 and not any(r.base_failed or r.kept for r in judged)
+    assert all(r.class_distance <= divergence.MAX_CHARS for r in judged)
+
+
 # --- models -------------------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postgeo.llm import jaccard, langid, packing, quality
-from postgeo.session import scratch_path
+from postgeo.session import cut_lineage, scratch_path
 
 #: A language is believed from this chance on.
 LANGUAGE_CHANCE = 0.5
@@ -38,8 +38,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the first row; rows without a word stay."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    """Of each group of near-duplicates the first row; rows without a word stay.
+
+    The numbers depend on how a scan is split, so the numbered rows are written once.
+    """
+    rows = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     groups = jaccard.near_duplicates(rows, "__row", "text")
     kept = groups.where(F.col("__row") == F.col("component_id")).select("__row")
     return rows.join(kept, "__row", "left_semi").select(*docs.columns)

@@ -41,6 +41,26 @@ def test_one_of_each_group_stays(spark, documents):  # noqa: F811
     assert {r.text for r in out.collect()} <= texts
 
 
+def test_first_rows_do_not_depend_on_scan_splits(spark, documents, tmp_path):  # noqa: F811
+    """The split of the input's scan changes between the join and the reading of its result."""
+    path, names = str(tmp_path / "docs"), ("spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum")
+    documents.repartition(16).write.parquet(path)
+    docs = spark.read.parquet(path)
+    want = len(Counter(c for (_, _, c) in brute_components([(i, r.text) for i, r in enumerate(docs.collect())])))
+    before = spark.conf.get(names[0])
+    try:
+        spark.conf.set(names[0], "1k")
+        out = corpus_pipeline.one_of_each(spark, docs, SMALL)
+        spark.conf.set(names[0], "1g")
+        spark.conf.set(names[1], "1")
+        groups = Counter(c for (_, _, c) in brute_components([(i, r.text) for i, r in enumerate(out.collect())]))
+    finally:
+        spark.conf.set(names[0], before)
+        spark.conf.unset(names[1])
+    # one row of every group: as many rows as before, and no two of them alike
+    assert len(groups) == want and max(groups.values()) == 1
+
+
 def test_whole_run(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert set(out.columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}

@@ -4,19 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postgeo.operators.pin import pin
 from postgeo.session import cut_lineage
 
-#: The commonest words of the languages with references.
-COMMON = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los"],
-}
-WORDS = sorted({w for ws in COMMON.values() for w in ws})
+#: Commonest words of a language that its reference holds, and texts that make a reference.
+COMMON, REFERENCE_ROWS = 8, 20
 #: Digits count with the small letters: numbers and keys inside prose are no sign of junk.
 CLASSES = ["small", "upper", "space", "point", "symbol", "other"]
 GAP = r"[\x20\x09-\x0D]+"
@@ -24,6 +18,8 @@ SYMBOLS = r"[#*$%&|<>]+"
 POINTS = r"[.,;:!?'\"()\-]+"
 #: Guards: a histogram of fewer characters or words says nothing.
 MIN_CHARS, MIN_WORDS = 200, 200
+#: A text of fewer words fails the base rules.
+MIN_BASE_WORDS = 50
 #: Distances (0 to 1) beyond which a text is far from every language.
 MAX_CHARS, MAX_WORDS = 0.13, 0.25
 
@@ -94,12 +90,30 @@ def _covered(windows: Column, packed: Column, low: Column) -> Column:
     return steps
 
 
-def measure(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """``keep`` plus the counts and the two histograms (shares by CLASSES; by WORDS and the rest)."""
+def _words(text: Column) -> Column:
+    text = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(F.length(text) > 0, F.split(text, GAP)).otherwise(F.array().cast("array<string>"))
+
+
+def common_words(docs: DataFrame, text_col: str, lang_col: str) -> dict[str, list[str]]:
+    """Per language the COMMON words with the greatest mean share of a text, over all its
+    rows that have the words the base rules ask for; languages with fewer than
+    REFERENCE_ROWS such rows have none. A share is counted in millionths, so that sums do
+    not depend on their order and one long text counts no more than others."""
+    t = pin(docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("_text")), words=_words(F.col("_text")))
+    t = t.where(F.size("words") >= MIN_BASE_WORDS).select("lang", "words", F.round(1e6 / F.size("words")).cast("long").alias("share"))
+    enough = t.groupBy("lang").count().where(F.col("count") >= REFERENCE_ROWS).select("lang")
+    sums = t.select("lang", F.explode("words").alias("word"), "share").groupBy("lang", "word").agg(F.sum("share").alias("share"))
+    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "word"))
+    rows = sums.join(enough, "lang", "left_semi").withColumn("place", best).where(F.col("place") <= COMMON).collect()
+    return {lang: sorted(r["word"] for r in rows if r["lang"] == lang) for lang in sorted({r["lang"] for r in rows})}
+
+
+def measure(docs: DataFrame, text_col: str, keep: list[str], listed: list[str]) -> DataFrame:
+    """``keep`` plus the counts, the shares by CLASSES and the count of each of the ``listed`` words."""
     t = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    words = F.btrim("_text", F.lit(" \t\n\x0b\x0c\r"))
     t = pin(
-        t, _words=F.when(F.length(words) > 0, F.split(words, GAP)).otherwise(F.array().cast("array<string>")), _rest=F.regexp_replace("_text", r"\p{L}+", ""),
+        t, _words=_words(F.col("_text")), _rest=F.regexp_replace("_text", r"[\p{L}\p{M}]+", ""),
         _lines=F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         _upper=F.length(F.regexp_replace("_text", r"\P{Lu}+", "")), _chars=F.length("_text"),
     )
@@ -111,15 +125,12 @@ def measure(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
         n_symbols=_less("_rest", SYMBOLS).cast("long"), _point=_less("_rest", POINTS),
         n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         _windows=F.when(n > 2, F.transform(F.sequence(F.lit(0), n - 3), window)).otherwise(F.array().cast("array<long>")),
-        _common=F.sort_array(F.filter("_words", lambda w: w.isin(WORDS))),
+        _common=F.sort_array(F.filter("_words", lambda w: w.isin(listed))),
     ).drop("_words", "_rest", "_lines")
     c = F.greatest(F.col("_chars"), F.lit(1)).cast("double")
     alike = F.col("_letters") + F.col("_digit")
     named = [alike - F.col("_upper"), F.col("_upper"), F.col("_space"), F.col("_point"), F.col("n_symbols")]
     other = F.col("_chars") - alike - F.col("_space") - F.col("_point") - F.col("n_symbols")
-    w = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    t = pin(t, _counts=_counted(F.col("_common")))
-    counts = [F.coalesce(F.try_element_at("_counts", F.lit(v)), F.lit(0)) / w for v in WORDS]
     # sorted in a step of its own, where generated code sorts plain numbers
     t = pin(t, _low=F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), _places(F.col("_windows"))).otherwise(F.lit(-1).cast("long")))
     t = pin(t, _packed=F.when(F.col("_low") >= 0, _packed(F.col("_windows"), F.col("_low"))))
@@ -130,31 +141,49 @@ def measure(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
         *keep, "n_words", (F.col("_chars") - F.col("_space")).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines",
         repeated.alias("n_repeat_words"), F.col("_chars").cast("long").alias("n_chars"),
         F.array(*[x / c for x in [*named, other]]).alias("by_class"),
-        F.array(*counts, (F.col("n_words") - F.size("_common")) / w).alias("by_word"),
+        _counted(F.col("_common")).alias("counts"),
     )
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def references(measured: DataFrame, lang_col: str) -> dict[str, dict[str, list[float]]]:
-    """Per language of COMMON the median share of every bin over all its rows that pass the
-    base rules; at most one small row per language reaches the driver."""
-    bins = {"by_class": len(CLASSES), "by_word": len(WORDS) + 1}
+def by_word(words: Column) -> Column:
+    """Shares of the given words in a measured text, then that of all others."""
+    w = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    shares = F.transform(words, lambda v: F.coalesce(F.try_element_at(F.col("counts"), v), F.lit(0)) / w)
+    return F.concat(shares, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(shares, F.lit(0.0), lambda s, x: s + x))))
+
+
+def references(measured: DataFrame, lang_col: str, common: dict[str, list[str]]) -> dict[str, dict[str, list]]:
+    """Per language with common words and REFERENCE_ROWS rows that pass the base rules the
+    median share of every bin over all of these; one small row per language reaches the driver."""
+    if not common:
+        return {}
+    own = F.create_map(*[x for k, v in common.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
+    rows = measured.where(F.col(lang_col).isin(list(common)) & ~base_failed())
+    rows = pin(rows, _own=F.try_element_at(own, F.col(lang_col)))
+    rows = pin(rows, by_word=by_word(F.col("_own")))
+    bins = {"by_class": len(CLASSES), "by_word": COMMON + 1}
     medians = [
-        F.array(*[F.percentile_approx(F.get(c, F.lit(i)), F.lit(0.5), F.lit(2000)) for i in range(k)]).alias(c)
+        F.array(*[F.coalesce(F.percentile_approx(F.get(c, F.lit(i)), F.lit(0.5), F.lit(2000)), F.lit(0.0)) for i in range(k)]).alias(c)
         for c, k in bins.items()
     ]
-    rows = measured.where(F.col(lang_col).isin(list(COMMON)) & ~base_failed()).groupBy(lang_col).agg(*medians).collect()
-    return {r[lang_col]: {c: [v / max(sum(r[c]), 1e-9) for v in r[c]] for c in bins} for r in rows}
+    made = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("_n"), *medians).where(F.col("_n") >= REFERENCE_ROWS).collect()
+    out = {}
+    for r in made:
+        words = common[r[lang_col]]
+        # of a language with fewer different words the share of all others is the next bin
+        parts = {"by_class": r["by_class"], "by_word": r["by_word"][: len(words) + 1]}
+        out[r[lang_col]] = {"words": words} | {c: [v / max(sum(p), 1e-9) for v in p] for c, p in parts.items()}
+    return out
 
 
-def js_distance(histogram: Column, reference: list[float]) -> Column:
+def js_distance(histogram: Column, reference: Column) -> Column:
     """Jensen-Shannon distance, 0 (equal) to 1 (nothing in common)."""
-    q = F.array(*[F.lit(float(v)) for v in reference])
     part = lambda a, m: F.when(a > 0, a * F.ln(a / m)).otherwise(F.lit(0.0))
-    both = F.zip_with(histogram, q, lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
+    both = F.zip_with(histogram, reference, lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
     total = F.aggregate(both, F.lit(0.0), lambda s, x: s + x)
     return F.sqrt(F.greatest(total, F.lit(0.0)) / (2 * math.log(2)))
 
@@ -166,17 +195,27 @@ def judge(
 
     A text is kept if it passes the base rules and is near some language: by characters if
     it has MIN_CHARS of them, by common words if it has MIN_WORDS words. Null, empty and
-    blank texts have zero counts and fail the base rules. Languages with no row that passes
-    give no reference; with none at all (also: empty table) only the base rules decide.
-    ``lang_col`` serves the references only, so null and unknown languages are judged like
-    others. Repeated rows repeat; other columns are not read.
+    blank texts have zero counts and fail the base rules. Every language of ``lang_col``
+    with REFERENCE_ROWS rows that pass gives a reference. A text of another language is
+    judged by the base rules alone (its distances are 0); one of null language is compared
+    with all references. Without any (also: empty table) only the base rules decide.
+    Repeated rows repeat; other columns are not read.
     """
-    keyed = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_t"))
-    measured = cut_lineage(measure(keyed, "_t", ["_id", "_lang"]), "measured")
-    refs = references(measured, "_lang")
-    nearest = lambda c: F.least(*[js_distance(F.col(c), r[c]) for r in refs.values()], F.lit(1.0))
-    far = measured.withColumn("class_distance", nearest("by_class") if refs else F.lit(0.0))
-    far = far.withColumn("word_distance", nearest("by_word") if refs else F.lit(0.0))
+    keyed = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_t"))
+    common = common_words(keyed, "_t", "_lang")
+    listed = sorted({w for ws in common.values() for w in ws})
+    measured = cut_lineage(measure(keyed, "_t", ["_id", "_lang"], listed), "measured")
+    refs = references(measured, "_lang", common)
+    far = measured.withColumns({"class_distance": F.lit(0.0), "word_distance": F.lit(0.0)})
+    if refs:
+        many = lambda xs: F.array(*[F.lit(x) for x in xs])
+        given = F.array(*[F.struct(*[many(r[c]).alias(c) for c in ("words", "by_class", "by_word")]) for r in refs.values()])
+        judged = F.col("_lang").isNull() | F.col("_lang").isin(list(refs))
+        nearest = lambda distance: F.when(judged, F.least(F.array_min(F.transform(given, distance)), F.lit(1.0))).otherwise(F.lit(0.0))
+        far = pin(
+            measured, class_distance=nearest(lambda r: js_distance(F.col("by_class"), r["by_class"])),
+            word_distance=nearest(lambda r: js_distance(by_word(r["words"]), r["by_word"])),
+        )
     odd = ((F.col("n_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CHARS)) | (
         (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORDS)
     )

@@ -324,7 +324,7 @@ def test_divergence_drops_texts_without_common_words(spark):
     """Letters, spaces and points as in prose, but none of the commonest words."""
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
     rng = random.Random(9)
-    common = {w for r in divergence.COMMON.values() for w in r} | set("a is that von zu das des en un y los".split())
+    common = set("the of and to in a is that der die und den von zu das de la le et les des en un que el y los".split())
     tail = sorted({w for r in table.where("lang = 'en'").collect() for w in r.text.split() if w.isalpha() and w.lower() not in common})
     salad = [(10**6 + i, " ".join(rng.choice(tail) + "," * (k % 12 == 0) for k in range(300)), "en") for i in range(5)]
     judged = divergence.judge(table.union(spark.createDataFrame(salad, table.schema))).where("doc_id >= 1000000").collect()
@@ -332,6 +332,23 @@ def test_divergence_drops_texts_without_common_words(spark):
     assert all(r.class_distance <= divergence.MAX_CHARS for r in judged)
 
 
+def test_divergence_of_languages_with_and_without_references(spark):
+    """Hindi with its vowel signs, as a language with many rows and as one with few."""
+    rng = random.Random(12)
+
+    def hindi(n):
+        syllable = lambda: rng.choice("कखगघचजटडतदनपबमयरलवसह") + rng.choice(["ा", "ि", "ी", "ु", "े", "ो", "ं", ""])
+        return " ".join(rng.choice("के में की है और से का को".split()) if rng.random() < 0.25 else "".join(syllable() for _ in range(rng.randint(2, 4))) for _ in range(n))
+
+    rows = [(i, prose(rng, 220), "en") for i in range(40)] + [(100 + i, hindi(220), "hi") for i in range(40)]
+    few = [(200 + i, hindi(220), "mr") for i in range(3)]
+    junk = [(300, " | ".join(hindi(220).split()), "hi"), (301, " ".join("".join(rng.choice("कखगघ") + "ा" for _ in range(3)) for _ in range(300)), "hi")]
+    for own in (rows + few + junk, rows[:40] + few):
+        df = spark.createDataFrame(own, "doc_id long, text string, lang string")
+        kept = {r.doc_id: r.kept for r in divergence.judge(df).collect()}
+        assert all(kept[r[0]] for r in own if r[0] < 300) and not any(kept.get(i) for i in (300, 301))
+
+
 # --- models -------------------------------------------------------------------------------
 
 

@@ -1,9 +1,10 @@
 """License scan: a trained paragraph classifier whose finds a template must confirm.
 
-Paragraphs (lines) are cut into words; unigrams, bigrams and trigrams that occur in the
+Lines are cut into words, and so are paragraphs of several lines; unigrams, bigrams and trigrams that occur in the
 templates are the features of a multinomial logistic regression over licence families and
 an unknown class, calibrated by a temperature. A found family counts only if one of its
-templates is largely there, in the templates' own word pairs.
+templates is largely there, in the templates' own word pairs. A wrapped notice is found in
+its paragraph (consecutive lines with words) as a span of about a template's length.
 """
 
 from __future__ import annotations
@@ -93,6 +94,8 @@ VAGUE = [
 _PUNCTUATION = words.LOWER.copy()
 _PUNCTUATION[[ord(c) for c in ".,;:()\"'[]/<>*_`#!?"]] = 32
 _TEXT_TABLE = {i: int(_PUNCTUATION[i]) for i in range(128)}
+#: Signs that begin the lines of a comment, besides the punctuation.
+MARKS = " \t\r\x0b\x0c-+=|%~@&^$\\{}"
 _BYTE_TABLE = bytes(_PUNCTUATION.tolist())
 
 
@@ -108,6 +111,11 @@ def _pairs(ws: list[str]) -> set[str]:
     return {" ".join(p) for p in zip(ws, ws[1:])}
 
 
+def _pair_hashes(pairs: list[str]) -> np.ndarray:
+    h, _ = words.word_hashes([p.encode() for p in pairs], True)
+    return words.mix(words.mix(h[0::2]) + h[1::2])
+
+
 @dataclasses.dataclass
 class Scanner:
     families: list[str]
@@ -133,10 +141,58 @@ class Scanner:
         share = max(len(t & there) / len(t) for f, t in self.templates if f == self.families[best])
         return (self.families[best], float(p[best]), share) if share >= CONFIRMED else None
 
+    def wrapped(self, lines: list[str]) -> list[tuple[int, int, tuple[str, float, float]]]:
+        """(first line, last line, find) of notices that go over lines of one paragraph.
+
+        For each template the span of about its length that has most of its word pairs,
+        again and again in what is left beside it.
+        """
+        ws, at = [], []
+        for k, line in enumerate(lines):
+            own = line.translate(_TEXT_TABLE).lstrip(MARKS).split()
+            ws += own
+            at += [k] * len(own)
+        where: dict[str, list[int]] = {}
+        for i, p in enumerate(zip(ws, ws[1:])):
+            where.setdefault(" ".join(p), []).append(i)
+        found = []
+        for family, pairs in self.templates:
+            hits = sorted((i, p) for p in pairs for i in where.get(p, ()))
+            ranges = [(0, len(hits))]
+            while ranges:
+                low, high = ranges.pop()
+                best, count, a = (0, 0, 0, 0), dict.fromkeys(pairs, 0), low
+                n = 0
+                for b in range(low, high):
+                    n += count[hits[b][1]] == 0
+                    count[hits[b][1]] += 1
+                    # repeated pairs at the front and words beyond the length are let go
+                    while hits[b][0] - hits[a][0] > 1.25 * len(pairs) + 2 or count[hits[a][1]] > 1:
+                        count[hits[a][1]] -= 1
+                        n -= count[hits[a][1]] == 0
+                        a += 1
+                    best = max(best, (n, hits[a][0] - hits[b][0], a, b))
+                n, _, a, b = best
+                if n < CONFIRMED * len(pairs):
+                    continue
+                ranges += [(low, a), (b + 1, high)]
+                first, last = hits[a][0], hits[b][0] + 1
+                if at[first] == at[last]:
+                    continue
+                p = self.scores(ws[first : last + 1])
+                likely = int(p.argmax())
+                if self.families[likely] == family and p[likely] >= CHANCE:
+                    found.append((at[first], at[last], (family, float(p[likely]), n / len(pairs))))
+        return found
+
     def pair_hashes(self) -> np.ndarray:
         pairs = sorted({p for _, t in self.templates for p in t})
-        h, _ = words.word_hashes([p.encode() for p in pairs], True)
-        return np.sort(words.mix(words.mix(h[0::2]) + h[1::2]))
+        return np.sort(_pair_hashes(pairs))
+
+    def template_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``pair_hashes`` each template has, and how many of them confirm it."""
+        order = self.pair_hashes()
+        return np.stack([np.isin(order, _pair_hashes(sorted(t))) for _, t in self.templates]), CONFIRMED * np.array([len(t) for _, t in self.templates])
 
 
 def train(negatives: list[str], seed: int = 5, rounds: int = 300, l2: float = 1e-3) -> Scanner:
@@ -195,6 +251,16 @@ def train(negatives: list[str], seed: int = 5, rounds: int = 300, l2: float = 1e
     return Scanner(families, vocabulary, w, float(grid[np.argmin([loss(t) for t in grid])]), templates)
 
 
+def _apart(finds: list[tuple[int, int, tuple]]) -> list[tuple[int, int, tuple]]:
+    """Finds (first line, last line, find) that share no line with a better one of their
+    paragraph; the share of the template decides, then fewer lines."""
+    taken: list[tuple[int, int, tuple]] = []
+    for f in sorted(finds, key=lambda f: (-f[2][2], f[1] - f[0], f[0], f[2][0])):
+        if not any(f[0] <= t[1] and t[0] <= f[1] and (f[2][0] == t[2][0] or t[0] < t[1]) for t in taken):
+            taken.append(f)
+    return sorted(taken, key=lambda f: f[:2])
+
+
 _ARROW_SPANS = pa.list_(pa.struct([
     ("paragraph", pa.int32()), ("family", pa.string()), ("chance", pa.float64()), ("template_share", pa.float64()), ("text", pa.string()),
 ]))
@@ -204,9 +270,10 @@ SPANS = "array<struct<paragraph:int,family:string,chance:double,template_share:d
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negatives: int = NEGATIVES) -> DataFrame:
     """(id_col, n_paragraphs, families, spans) per row.
 
-    ``spans`` has every confirmed licence paragraph (its number from 0 among all lines,
-    family, chance, share of the template, text), ``families`` the distinct families in
-    order. Null, empty and blank texts have no paragraph and no licence. Examples of the
+    ``spans`` has every confirmed licence notice (number of its first line from 0, family,
+    chance, share of the template, its lines), be it within a line or wrapped over lines of
+    one paragraph; ``n_paragraphs`` counts the lines that are not blank; ``families`` has the
+    distinct families in order. Null, empty and blank texts have no paragraph and no licence. Examples of the
     unknown class are paragraphs without template wording, drawn by a hash of the text;
     on an empty table only the built-in ones serve. Repeated rows repeat; other columns
     are not read.
@@ -219,6 +286,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
     some = [r[0] for r in drawn.where(line.isNotNull()).select(F.substring(line, 1, NEGATIVE_CHARS)).distinct().collect()]
     scanner = train(sorted(t for t in some if not wording.search(t)))
     pairs = scanner.pair_hashes()
+    in_template, enough = scanner.template_pairs()
+
+    def hits(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        """Numbers of the texts with pairs of templates, and which ones."""
+        for a, b in words.blocks(texts):
+            h, who = words.word_hashes(texts[a:b], True)
+            pair = words.mix(words.mix(h[:-1]) + h[1:])
+            at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+            hit = (pairs[at] == pair) & (who[:-1] == who[1:])
+            both = np.unique(who[:-1][hit].astype(np.int64) * len(pairs) + at[hit])
+            texts_hit, first = np.unique(both // len(pairs), return_index=True)
+            for k, own in zip(texts_hit.tolist(), np.split(both % len(pairs), first[1:])):
+                yield a + k, own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,17 +309,34 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
                 lines += own
                 owner += [(i, k) for k in range(len(own))]
             found: list[list] = [[] for _ in counts]
-            for a, b in words.blocks(lines):
-                h, who = words.word_hashes([x.translate(_BYTE_TABLE) for x in lines[a:b]], True)
-                pair = words.mix(words.mix(h[:-1]) + h[1:])
-                at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
-                hit = (pairs[at] == pair) & (who[:-1] == who[1:])
-                for k in np.unique(who[:-1][hit]).tolist():
-                    text = lines[a + k].decode("utf-8", "replace")
-                    got = scanner.find(text)
-                    if got:
-                        i, place = owner[a + k]
-                        found[i].append({"paragraph": place, "family": got[0], "chance": got[1], "template_share": got[2], "text": text})
+            clean = [x.translate(_BYTE_TABLE) for x in lines]
+            # paragraphs: lines of one text up to one without a word
+            start = [k for k, x in enumerate(clean) if x.strip() and (not k or owner[k - 1][0] != owner[k][0] or not clean[k - 1].strip())]
+            paragraphs, whole = [], []
+            for k in start:
+                end = k + 1
+                while end < len(lines) and owner[end][0] == owner[k][0] and clean[end].strip():
+                    end += 1
+                paragraphs.append((k, end))
+                whole.append(b" ".join(x.lstrip(MARKS.encode()) for x in clean[k:end]))
+            of_line = np.zeros(len(lines), np.int64)
+            finds: dict[int, list] = {}
+            for n, (first, end) in enumerate(paragraphs):
+                of_line[first:end] = n
+            for k, _ in hits(clean):
+                got = scanner.find(lines[k].decode("utf-8", "replace"))
+                if got:
+                    n = int(of_line[k])
+                    finds.setdefault(n, []).append((k - paragraphs[n][0], k - paragraphs[n][0], got))
+            for n, own in hits(whole):
+                first, end = paragraphs[n]
+                if end - first > 1 and (in_template[:, own].sum(1) >= enough).any():
+                    finds.setdefault(n, []).extend(scanner.wrapped([x.decode("utf-8", "replace") for x in lines[first:end]]))
+            for n in sorted(finds):
+                for low, high, got in _apart(finds[n]):
+                    i, place = owner[paragraphs[n][0] + low]
+                    own = lines[paragraphs[n][0] + low : paragraphs[n][0] + high + 1]
+                    found[i].append({"paragraph": place, "family": got[0], "chance": got[1], "template_share": got[2], "text": b"\n".join(own).decode("utf-8", "replace")})
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array([sorted({s["family"] for s in f}) for f in found], pa.list_(pa.string())),
                  pa.array(found, _ARROW_SPANS)],

@@ -429,6 +429,27 @@ def test_licenses_are_found_and_near_misses_are_not(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_wrapped_licenses_are_found(spark):
+    notices = {
+        "BSD": ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"],
+        "LGPL": ["This library is free software; you can redistribute it and/or", "modify it under the terms of the GNU Lesser General Public", "License as published by the Free Software Foundation; either"],
+        "MIT": ["Permission is hereby granted, free of charge, to any person obtaining", "a copy of this software and associated documentation files (the", "\"Software\"), to deal in the Software without restriction"],
+    }
+    rng = random.Random(13)
+    rows, want = [(i, prose(rng, 80)) for i in range(40)], {}
+    for family, lines in notices.items():
+        for before, after in (("", ""), (prose(rng, 200) + "\n", "\n" + prose(rng, 200)), (prose(rng, 30) + "\n\n", "\n\n" + prose(rng, 30))):
+            for mark in ("", "// ", " * ", "-- "):
+                want[100 + len(want)] = family
+                rows.append((99 + len(want), before + "\n".join(mark + x for x in lines) + after))
+    rows.append((1000, "\n\n".join(notices["BSD"])))  # blank lines cut paragraphs
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {g["doc_id"]: g for g in collected(licenses.scan(df))}
+    assert {i: found[i]["families"] for i in want} == {i: [f] for i, f in want.items()}
+    assert all(s["text"].count("\n") >= 1 for i in want for s in found[i]["spans"])
+    assert not any(found[i]["families"] for i in [*range(40), 1000])
+
+
 def test_license_classifier_on_held_out_wordings():
     scanner = licenses.train([])
     assert scanner.find("The code is released under the MIT license, see below.")[0] == "MIT"

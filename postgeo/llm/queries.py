@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, divergence, images, jaccard, langid, licenses, packing, quality, sharding, urls
+from . import bpe, digest, divergence, images, jaccard, langid, licenses, negatives, packing, quality, sharding, spelling, urls
 
 RANKS = "byte_bpe_50k.tiktoken"
 SHARDS = 24
@@ -76,5 +76,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(_table(spark, sf_dir, "documents")))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.edit_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
 def llm_queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}

@@ -118,6 +118,13 @@ UNION ALL
 SELECT concat('https://bbs.example/topics.php?bbs=4&msgid=', CAST(2000000000 + event_id AS STRING)) AS url, CAST(4 AS INT) AS bbs,
   CAST(NULL AS STRING) AS html, CAST('2024-06-03 00:00:00' AS TIMESTAMP) AS fetched_at
 FROM {events} WHERE event_type = 'error'
+UNION ALL
+SELECT concat('https://bbs.example/topics.php?bbs=6&msgid=', CAST(3000000000 + item_id AS STRING)) AS url, CAST(6 AS INT) AS bbs,
+  concat('<html><body><table><tr><td>No.', CAST(3100000000 + item_id AS STRING), '</td><td><h2>Baker wanted</h2><p>', text, '</p></td></tr>',
+    '<tr><td>Written by Ann, No.', CAST(3000000000 + item_id AS STRING), ' today</td><td><h2>Waiter wanted</h2><p>$19/hr ', text, '</p></td></tr>',
+    '<tr><td>[7] No.', CAST(3200000000 + item_id AS STRING), ' 2024</td><td><h2>Driver wanted</h2><p>See No.5 or ', text, '</p></td></tr></table></body></html>') AS html,
+  CAST('2024-06-04 00:00:00' AS TIMESTAMP) AS fetched_at
+FROM {benchmark}
 """
 
 VIEWS["listings_fx"] = """

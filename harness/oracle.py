@@ -306,8 +306,12 @@ SELECT coalesce(k.bbs, d.bbs) AS bbs, coalesce(greatest(known, done), known, don
  (SELECT bbs, max(msgid) FILTER (ok = 1) AS done FROM crawl_events_fx GROUP BY bbs) d ON k.bbs = d.bbs"""
 O["crawl_counts"] = "SELECT bbs, count(*) FILTER (ok = 1) AS succeeded, count(*) FILTER (ok = 0) AS failed FROM crawl_events_fx GROUP BY bbs"
 O["crawl_error_rate"] = """
-SELECT bbs, count(*) AS attempts, round(avg(1 - ok), 6) AS error_rate FROM crawl_events_fx GROUP BY bbs
-UNION ALL SELECT NULL, count(*), round(avg(1 - ok), 6) FROM crawl_events_fx"""
+SELECT bbs, 0 AS all_boards, count(*) AS attempts, round(avg(1 - ok), 6) AS error_rate FROM crawl_events_fx GROUP BY bbs
+UNION ALL SELECT NULL, 1, count(*), round(avg(1 - ok), 6) FROM crawl_events_fx"""
+O["crawl_finished"] = """
+WITH d AS (SELECT DISTINCT bbs, msgid FROM crawl_events_fx WHERE ok = 1),
+i AS (SELECT *, msgid - row_number() OVER (PARTITION BY bbs ORDER BY msgid) AS island FROM d)
+SELECT bbs, min(msgid) AS first_msgid, max(msgid) AS last_msgid FROM i GROUP BY bbs, island"""
 O["retry_queue"] = f"""
 SELECT bbs, msgid, {ts('max(ingested_at)')} AS failed_at, count(*) AS failures FROM crawl_events_fx f WHERE ok = 0
   AND NOT EXISTS (SELECT 1 FROM crawl_events_fx s WHERE s.ok = 1 AND s.bbs = f.bbs AND s.msgid = f.msgid
@@ -491,17 +495,20 @@ def balanced(c: str, tag: str) -> str:
 
 _ct = [tag_text(balanced(find("page", p), t)) for t, p in _cont]
 _short = "coalesce(length({0}), 0) < 50"
+_lead = r"[^<\p{L}]*?"
 SEGMENTS = f"""
 pg AS (SELECT url, bbs, fetched_at, {visible('html')} AS page FROM raw_pages_fx WHERE html IS NOT NULL),
-cut AS (SELECT *, string_split(regexp_replace(page, '{rx('(?i)>([<W>]*No[.]<D>+)([^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]|$)')}', '>' || chr(1) || '\\1\\2', 'g'), chr(1)) AS parts FROM pg),
+cut0 AS (SELECT *, TRY_CAST({find('url', 'msgid=(<D>+)')} AS BIGINT) AS own, regexp_replace(page, '{rx('(?i)>(' + _lead + 'No[.]<D>+)([^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]|$)')}', '>' || chr(1) || '\\1\\2', 'g') AS c FROM pg),
+cut AS (SELECT *, string_split(CASE WHEN own IS NULL OR regexp_matches(c, '(?i)' || chr(1) || '{_lead}No[.]0*' || own || '([^\\p{{L}}\\p{{N}}_]|$)') THEN c
+  ELSE regexp_replace(c, '(?is)(>(?:[^<>' || chr(1) || ']*?[^<>\\p{{L}}\\p{{N}}_' || chr(1) || '])?)(No[.]0*' || own || '(?:[^\\p{{L}}\\p{{N}}_]|$))', '\\1' || chr(1) || '\\2') END, chr(1)) AS parts FROM cut0),
 seg0 AS (SELECT url, bbs, fetched_at, page, unnest(CASE WHEN len(parts) > 1 THEN parts[2:] ELSE [NULL] END) AS segment,
   unnest(CASE WHEN len(parts) > 1 THEN range(1, len(parts)) ELSE [0] END) AS pos FROM cut),
-seg1 AS (SELECT *, TRY_CAST(CASE WHEN segment IS NULL THEN {find('url', 'msgid=(<D>+)')} ELSE {find('segment', '(?i)^[<W>]*No[.](<D>+)')} END AS BIGINT) AS msgid FROM seg0),
+seg1 AS (SELECT *, TRY_CAST(CASE WHEN segment IS NULL THEN {find('url', 'msgid=(<D>+)')} ELSE {find('segment', '(?i)^' + _lead + 'No[.](<D>+)')} END AS BIGINT) AS msgid FROM seg0),
 seg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url, msgid ORDER BY pos) AS r FROM seg1) WHERE r = 1),
 a1 AS (SELECT *, nullif({strip(tag_text(find('segment', _h2)))}, '') AS h2, {strip(tag_text(find('page', _h2)))} AS ph2,
   list_transform(regexp_split_to_array(regexp_replace(regexp_replace(segment, '^[^<]*', ''), '{rx('(?is)<h2' + chr(92) + 'b[^>]*>.*?</h2[^>]*>')}', '<p>', 'g'), '{rx(_block)}'),
     lambda x: {strip(tag_text('x'))}) AS blocks,
-  regexp_replace({tag_text('segment')}, '{rx('(?i)^[<W>]*No[.]<D>+[^' + chr(92) + 'n]*' + chr(92) + 'n')}', '') AS txt FROM seg),
+  regexp_replace({tag_text('segment')}, '{rx('(?i)^' + _lead + 'No[.]<D>+[^' + chr(92) + 'n]*' + chr(92) + 'n')}', '') AS txt FROM seg),
 a2 AS (SELECT *, coalesce(h2, CASE WHEN length(ph2) > 5 AND NOT starts_with(ph2, 'No.') THEN ph2 END) AS title,
   CASE WHEN h2 IS NOT NULL AND instr(txt, h2) > 0 THEN substr(txt, 1, instr(txt, h2) - 1) || substr(txt, instr(txt, h2) + length(h2)) ELSE txt END AS unt FROM a1),
 a3 AS (SELECT *, CASE WHEN h2 IS NOT NULL THEN array_to_string(list_filter(blocks, lambda x, i: length(x) > 5 AND list_position(blocks, x) = i), ' ') END AS c1,

@@ -278,6 +278,10 @@ def q_crawl_error_rate(s, d):
     return tidy(crawl.error_rate(view(s, d, "crawl_events_fx")))
 
 
+def q_crawl_finished(s, d):
+    return crawl.finished(view(s, d, "crawl_events_fx"))
+
+
 def q_crawl_sessions(s, d):
     return tidy(crawl.sessions(view(s, d, "crawl_events_fx")))
 

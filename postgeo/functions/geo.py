@@ -139,7 +139,7 @@ def box_level(min_lng, min_lat, max_lng, max_lat) -> Column:
 
 def box_cells(level, min_lng, min_lat, max_lng, max_lat) -> Column:
     """Numbers of the cells a box touches on its level."""
-    size = F.element_at(F.array(*[F.lit(s) for s in LEVEL_SIZES]), level + 1)
+    size = _size(level)
 
     def axis(v, offset):
         return F.floor((v + F.lit(offset)) / size)
@@ -152,6 +152,36 @@ def box_cells(level, min_lng, min_lat, max_lng, max_lat) -> Column:
     )
 
 
+def cells_around(lat, lng, reach: int, widest) -> Column:
+    """(level, cell) of the cells at most ``reach`` cells from the point's own, on every level
+    whose cells are up to ``widest`` degrees wide. Cells across the date line are left out."""
+    levels = F.filter(F.array(*[F.lit(k) for k in range(len(LEVEL_SIZES))]), lambda k: _size(k) <= widest)
+    steps = F.array(*[F.lit(i).cast("bigint") for i in range(-reach, reach + 1)])
+
+    def on(k):
+        row, col = F.floor((lat + 90.0) / _size(k)), F.floor((lng + 180.0) / _size(k))
+        cells = F.transform(steps, lambda r: F.transform(steps, lambda c: F.when(
+            (row + r >= 0) & (col + c >= 0) & ((col + c) * _size(k) < 360.0),
+            F.struct(k.alias("level"), (k.cast("bigint") * F.lit(_LEVEL) + (row + r) * F.lit(_ROW) + col + c).alias("cell")),
+        )))
+        return F.filter(F.flatten(cells), lambda x: x.isNotNull())
+
+    return F.flatten(F.transform(levels, on))
+
+
+def _size(level) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in LEVEL_SIZES]), level + 1)
+
+
+def cell_box(level, cell) -> tuple[Column, Column, Column, Column]:
+    """West, south, east and north edge of a cell, but for rounding."""
+    size = _size(level)
+    place = F.pmod(cell, F.lit(_LEVEL))
+    row, col = F.floor(place / F.lit(_ROW)), F.pmod(place, F.lit(_ROW))
+    w, s = col * size - 180.0, row * size - 90.0
+    return w, s, w + size, s + size
+
+
 def zoom_cell_size(zoom) -> Column:
     """Side in degrees of a 50-pixel square at a web-map zoom."""
     return F.lit(50.0 * 360.0 / 256.0) / F.pow(F.lit(2.0), zoom)

@@ -6,18 +6,14 @@ size, each posting has one cell per level in use, and an equi-join on the cell
 finds the candidates, which the exact predicate then checks. A posting has one
 cell per level and a request one level, so no pair can come up twice.
 
-Hot spots. A third of all postings may share one exact point (a city centre used
-as fallback). Two exact reductions keep that from multiplying with the requests:
-
-* for ranked answers, postings that agree in every column a request can test
-  (point, pay, category) are accepted or refused together, so only the best
-  LIMIT_MAX of each such group can ever be shown (``keep_showable``);
-* for counts and clusters, such a group travels as one row with its size
-  (``group_alike``).
-
-A hot cell with many distinct points stays an ordinary shuffle join on the cell,
-which adaptive execution splits (skew join); nothing below forbids the split,
-since the next step is shuffled by request.
+Answers do not pair requests with all postings in their area (see ``pyramid``): counts
+per cell say how far down its ranking a request must look, and only the postings up to
+there become candidates. Within one exact point, which may hold a third of all postings
+(a city centre used as fallback), the ranges of ids stand for the cells.
+
+A hot cell with many distinct points stays an ordinary shuffle join, which adaptive
+execution splits (skew join); nothing below forbids the split, since the next step is
+shuffled by request.
 """
 
 from __future__ import annotations
@@ -27,12 +23,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed as X, geo
 from ..session import cut_lineage
 from ..sources.schemas import JOB_RESULT
+from . import pyramid
 from .pin import pin
+from .pyramid import TESTED
 from .ranking import top_rows
 
-TESTED = ["lat", "lng", "wage_min", "wage_max", "category"]
-HOT_POINT_ROWS = 4 * X.LIMIT_MAX
-MAX_HOT_POINTS = 1_000_000
 
 
 # --- validation -------------------------------------------------------------------
@@ -89,28 +84,6 @@ def accepted(checked: DataFrame) -> DataFrame:
 # --- exact reductions of the postings -----------------------------------------------
 
 
-def keep_showable(jobs: DataFrame, order: list[Column]) -> DataFrame:
-    """Drop postings that no request can show because LIMIT_MAX postings that are
-    alike in every tested column come before them in ``order``.
-
-    Only hot points are ranked, all others pass untouched. A point is hot when it
-    holds more than HOT_POINT_ROWS rows and more than one in MAX_HOT_POINTS of the
-    table, so there are fewer than MAX_HOT_POINTS of them and the list (two
-    doubles per row) is safe to broadcast whatever the table size.
-    """
-    share = jobs.agg((F.count(F.lit(1)) / MAX_HOT_POINTS).alias("share")).scalar()
-    hot = (
-        jobs.groupBy("lat", "lng")
-        .count()
-        .where((F.col("count") > HOT_POINT_ROWS) & (F.col("count") > share))
-        .select("lat", "lng")
-    )
-    quiet = jobs.join(F.broadcast(hot), ["lat", "lng"], "left_anti")
-    busy = jobs.join(F.broadcast(hot), ["lat", "lng"], "left_semi")
-    best = top_rows(busy, TESTED, order, X.LIMIT_MAX, F.col("id")).drop("rn")
-    return quiet.unionByName(best)
-
-
 def group_alike(jobs: DataFrame) -> DataFrame:
     """One row per distinct tested columns, with the number of postings ``n``."""
     return jobs.groupBy(*TESTED).agg(F.count(F.lit(1)).alias("n"))
@@ -220,103 +193,135 @@ def match_viewports(jobs: DataFrame, viewports: DataFrame, columns: list[str]) -
     return pairs.where(inside & filters_hold())
 
 
-def _near_centers(jobs: DataFrame, centers: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs in the box around each circle that meet its filters, with ``distance_km``."""
-    pairs = cell_join(jobs, center_cells(centers), columns)
-    lat, lng, c_lat, c_lng = F.col("lat"), F.col("lng"), F.col("q_lat"), F.col("q_lng")
-    near = (F.abs(lat - c_lat) <= F.col("q_dlat")) & geo.lng_near(lng, c_lng, F.col("q_dlng"))
-    return pin(pairs.where(near & filters_hold()), distance_km=geo.haversine_m(lat, lng, c_lat, c_lng) / 1000.0)
+# --- answers -------------------------------------------------------------------------------
+
 
+BOX = ["min_lng", "min_lat", "max_lng", "max_lat"]
+CIRCLE = ["lat", "lng", "radius_km"]
+#: Cells on each side of a centre's own that are counted on every level.
+AROUND = 2
 
-def match_centers(jobs: DataFrame, centers: DataFrame, columns: list[str]) -> DataFrame:
-    """All (request, posting) pairs within the radius, with ``distance_km``. If the requests
-    have a ``cut``, only the rings up to it."""
-    pairs = _near_centers(jobs, centers, columns)
-    if "cut" in centers.columns:
-        pairs = pairs.where(_ring() <= F.col("q_cut"))
-    close = geo.with_ellipsoid_m(pairs, "_m", F.col("lat"), F.col("lng"), F.col("q_lat"), F.col("q_lng"))
-    return close.where(F.col("_m") <= F.col("q_radius_km") * 1000.0).drop("_m")
 
+def _by_class(columns: list[str]) -> list[Column]:
+    """Columns of a class under the names that conditions on postings expect."""
+    return [F.col(c).alias(c if c == "class" else f"q_{c}") for c in columns]
 
-def surely_inside(jobs: DataFrame, centers: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs whose distance on the sphere leaves no doubt about that on the ellipsoid: the
-    two differ by less than 0.6 %."""
-    return _near_centers(jobs, centers, columns).where(F.col("distance_km") <= F.col("q_radius_km") * 0.99)
 
+def _shown(pairs: DataFrame, members: DataFrame, order: list[Column], columns: list[str]) -> DataFrame:
+    """The first ``lim`` postings of every request, from those of its class."""
+    ranked = top_rows(pairs, ["class"], order, X.LIMIT_MAX, F.col("id")).where(F.col("rn") <= F.col("q_lim"))
+    return ranked.select("class", "rn", *columns).join(members, "class").where(F.col("rn") <= F.col("lim")).select("q_id", "rn", *columns)
 
-# --- answers -------------------------------------------------------------------------------
 
+def _day(posted_at: Column, ids: Column) -> Column:
+    """Whole number that grows along the ranking, newest first: days back in time, before
+    these, for postings without a date, the ranges of ids."""
+    back = F.datediff(F.lit("9999-12-31").cast("date"), posted_at.cast("date")).cast("bigint")
+    return F.when(posted_at.isNull(), ids - F.lit(1 << 62)).otherwise(back)
 
-def _with_cutoff(requests: DataFrame, matches: DataFrame, bucket: Column) -> DataFrame:
-    """Requests with ``cut``: the last bucket of the ranking that can still hold
-    one of their first ``lim`` postings, ALL where ``matches`` has fewer than ``lim``.
 
-    ``bucket`` is a whole number that grows along the ranking; ``matches`` may leave out
-    doubtful pairs, which can only move the cut outwards. Counting per bucket is a
-    combinable aggregation over grouped postings, so finding the cut costs no sort, and
-    only the rows up to the cut are ranked afterwards.
+def viewport_keys(jobs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, cell, bucket, lim): the cells and days that can hold one of the first ``lim``
+    postings of a class. ``jobs`` has a ``bucket`` that grows along the ranking.
+
+    The counts of cells inside the box are sure; a bucket goes once those before it suffice.
     """
-    per_bucket = matches.groupBy("q_id", bucket.alias("bucket")).agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy("q_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = per_bucket.withColumn("before", F.sum("n").over(upto) - F.col("n"))
-    cut = (
-        before.join(requests.select("q_id", "lim"), "q_id")
-        .where(F.col("before") < F.col("lim"))
-        .groupBy("q_id", "lim")
-        .agg(F.max("bucket").alias("last"), F.sum("n").alias("reached"))
-        .select("q_id", F.when(F.col("reached") >= F.col("lim"), F.col("last")).alias("cut"))
+    cells = viewport_cells(classes)
+    inside = pyramid.inside_box(F.col("level"), F.col("cell"), *[F.col(c) for c in BOX])
+    cells = cut_lineage(pin(cells, inner=inside), "cells")
+    hits = pyramid.met(cells, pyramid.counts(jobs, pyramid.used_of(cells), ["bucket"]))
+    # dealt by class at once, as the window below needs it
+    keys = ["class", "cell", "bucket", "lim"]
+    hits = hits.select(*keys, "inner", "n").repartition("class").groupBy(*keys).agg(F.sum(F.when(F.col("inner"), F.col("n")).otherwise(0)).alias("sure"))
+    earlier = Window.partitionBy("class").orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
+    return hits.withColumn("before", F.coalesce(F.sum("sure").over(earlier), F.lit(0))).where(F.col("before") < F.col("lim")).select(*keys)
+
+
+def viewport_candidates(jobs: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
+    """Postings of the cells and days that ``viewport_keys`` leaves, tested."""
+    asked = classes.select(*_by_class(["class", *BOX, *pyramid.TESTS, "lim"]))
+    keys = viewport_keys(jobs, classes).drop("lim").join(asked, "class")
+    levels = viewport_cells(classes).select("level").distinct()
+    placed = (
+        jobs.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+        .select(*columns, "bucket", F.explode(geo.point_cells(F.col("lat"), F.col("lng"))).alias("at"))
+        .select(*columns, "bucket", "at.level", "at.cell")
+        .join(F.broadcast(levels), "level", "left_semi")  # at most len(LEVEL_SIZES) rows
+        .drop("level")
     )
-    # written: the requests are used twice below, the count should run once
-    return cut_lineage(requests.join(cut, "q_id", "left").withColumn("cut", F.coalesce("cut", F.lit(ALL))), "cutoff")
+    inside = geo.in_box(F.col("lat"), F.col("lng"), *[F.col(f"q_{c}") for c in BOX])
+    return placed.join(keys, ["cell", "bucket"]).where(inside & pyramid.conditions_hold()).drop("cell", "bucket")
 
 
-def _age_bucket(posted_at: Column) -> Column:
-    """Months back in time; postings without a date come first."""
-    return F.coalesce(-F.floor(F.unix_date(posted_at.cast("date")) / 30), F.lit(-(1 << 40))).cast("bigint")
+def viewport_batch(
+    jobs: DataFrame, viewports: DataFrame, columns: list[str] = JOB_RESULT
+) -> DataFrame:
+    """Newest ``lim`` postings of every box, ranked by ``rn``."""
+    classes, members = pyramid.classes(accepted(check_viewports(viewports)), BOX)
+    slim = jobs.select(*_needed(columns, "posted_at")).withColumn("bucket", _day(F.col("posted_at"), pyramid.id_range(jobs)))
+    pairs = viewport_candidates(slim, classes, _needed(columns, "posted_at"))
+    return _shown(pairs, members, [F.col("posted_at").desc_nulls_first(), F.col("id").asc()], columns)
 
 
-RINGS = 64
-ALL = 1 << 42
+def _center_cells(classes: DataFrame) -> DataFrame:
+    """Cells of circles; ``inner`` where they lie wholly in it, ``far_km`` as a bound of their distance."""
+    return _told_inner(center_cells(classes).drop("dlat", "dlng"))
 
 
-def _ring() -> Column:
-    """Ring of the circle a posting lies in, from the centre outwards."""
-    return F.floor(F.col("distance_km") / F.col("q_radius_km") * RINGS).cast("bigint")
+def _told_inner(cells: DataFrame) -> DataFrame:
+    cells = pin(cells, far_km=pyramid.farthest_km(F.col("level"), F.col("cell"), F.col("lat"), F.col("lng")))
+    return cut_lineage(cells.withColumn("inner", F.col("far_km") <= F.col("radius_km") * pyramid.SURE), "cells")
 
 
-def viewport_batch(
-    jobs: DataFrame, viewports: DataFrame, columns: list[str] = JOB_RESULT
-) -> DataFrame:
-    """Newest ``lim`` postings of every box, ranked by ``rn``."""
-    order = [F.col("posted_at").desc_nulls_first(), F.col("id").asc()]
-    asked = accepted(check_viewports(viewports))
-    alike = (
-        jobs.withColumn("age", _age_bucket(F.col("posted_at")))
-        .groupBy(*TESTED, "age")
-        .agg(F.count(F.lit(1)).alias("n"))
+def _at_points(jobs: DataFrame, cells: DataFrame, extra: list[str]) -> DataFrame:
+    """Points with postings in the cells, within the circle of the class, ``distance_km`` from
+    its centre; ``n`` postings meet the conditions."""
+    rows = pyramid.counts(jobs, pyramid.used_of(cells), ["lat", "lng", *extra]).withColumnsRenamed({"lat": "p_lat", "lng": "p_lng"})
+    hits = pyramid.met(cells, rows)
+    at = F.col("p_lat"), F.col("p_lng"), F.col("lat"), F.col("lng")
+    hits = pin(hits, distance_km=geo.haversine_m(*at) / 1000.0).where(F.col("distance_km") <= F.coalesce("reach_km", F.col("radius_km") * 1.01))
+    close = geo.with_ellipsoid_m(hits, "_m", *at)
+    return close.where(F.col("_m") <= F.col("radius_km") * 1000.0).drop("_m")
+
+
+def nearby_candidates(jobs: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
+    """Postings that can be among the nearest ``lim`` of a class, tested, with ``distance_km``.
+
+    Counts of cells wholly inside, of those around the centre on every level, give a distance
+    within which there are enough; the points within it are ordered by distance, and the
+    ranges of ids of one distance among themselves.
+    """
+    around = geo.cells_around(F.col("lat"), F.col("lng"), AROUND, F.col("radius_km") / geo.KM_PER_DEGREE)
+    cells = classes.select("*", F.inline(around)).unionByName(center_cells(classes).drop("dlat", "dlng")).distinct()
+    cells = _told_inner(cells).where("inner")
+    sure = pyramid.met(cells, pyramid.counts(jobs, pyramid.used_of(cells), []))
+    upto = Window.partitionBy("class", "level").orderBy("far_km")
+    reach = (
+        sure.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") >= F.col("lim"))
+        .groupBy("class").agg(F.min("far_km").alias("reach_km"))
     )
-    asked = _with_cutoff(asked, match_viewports(alike, asked, alike.columns), F.col("age"))
-    slim = keep_showable(jobs.select(*_needed(columns, "posted_at")), order)
-    pairs = match_viewports(slim, asked, slim.columns).where(_age_bucket(F.col("posted_at")) <= F.col("q_cut"))
-    ranked = top_rows(pairs, ["q_id"], order, X.LIMIT_MAX, F.col("id"))
-    return ranked.where(F.col("rn") <= F.col("q_lim")).select("q_id", "rn", *columns)
+    ranged = jobs.withColumn("range", pyramid.id_range(jobs))
+    # cells once more, only as far as the reach
+    near = classes.join(reach, "class", "left")
+    wide = center_cells(near.withColumn("whole_km", F.col("reach_km")).withColumn("reach_km", F.coalesce("reach_km", "radius_km")))
+    wide = cut_lineage(wide.drop("dlat", "dlng", "reach_km").withColumnRenamed("whole_km", "reach_km"), "cells")
+    keys = ["class", "p_lat", "p_lng", "range", "distance_km", *pyramid.TESTS, "lim"]
+    points = _at_points(ranged, wide, ["range"]).select(*keys, "n").repartition("class").groupBy(*keys).agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy("class").orderBy("distance_km", "range")
+    peers = Window.partitionBy("class", "distance_km", "range")
+    points = points.withColumn("before", F.sum("n").over(upto) - F.sum("n").over(peers)).where(F.col("before") < F.col("lim"))
+    keys = points.select(F.col("p_lat").alias("lat"), F.col("p_lng").alias("lng"), "range", "distance_km", *_by_class(["class", *pyramid.TESTS, "lim"]))
+    return ranged.select(*columns, "range").join(keys, ["lat", "lng", "range"]).where(pyramid.conditions_hold()).drop("range")
 
 
 def nearby_batch(
     jobs: DataFrame, centers: DataFrame, columns: list[str] = JOB_RESULT
 ) -> DataFrame:
     """Nearest ``lim`` postings of every circle, ranked by ``rn``."""
-    asked = accepted(check_centers(centers))
-    alike = group_alike(jobs)
-    asked = _with_cutoff(asked, surely_inside(alike, asked, alike.columns), _ring())
-    # cells and candidates only as far as the last ring that counts
-    asked = asked.withColumn("reach_km", F.col("radius_km") * F.least(F.lit(1.0), (F.col("cut") + 1) / F.lit(float(RINGS))))
-    slim = keep_showable(jobs.select(*_needed(columns)), [F.col("id").asc()])
-    pairs = match_centers(slim, asked, slim.columns)
-    ranked = top_rows(
-        pairs, ["q_id"], [F.col("distance_km").asc(), F.col("id").asc()], X.LIMIT_MAX, F.col("id")
-    )
-    return ranked.where(F.col("rn") <= F.col("q_lim")).select("q_id", "rn", *columns, "distance_km")
+    classes, members = pyramid.classes(accepted(check_centers(centers)), CIRCLE)
+    slim = jobs.select(*_needed(columns))
+    pairs = nearby_candidates(slim, classes, slim.columns)
+    return _shown(pairs, members, [F.col("distance_km").asc(), F.col("id").asc()], [*columns, "distance_km"])
 
 
 def _needed(columns: list[str], *more: str) -> list[str]:
@@ -330,33 +335,37 @@ def viewport_page(jobs: DataFrame, viewports: DataFrame, page_size: int) -> Data
     )
 
 
+def _counted(classes: DataFrame, members: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """Members of classes with ``count``, ``total`` and ``matching`` from sums of ``n``."""
+    found = parts[0].select("class", "n").union(parts[1].select("class", "n")).groupBy("class").agg(F.sum("n").alias("matching"))
+    matching = F.coalesce("matching", F.lit(0)).cast("bigint")
+    shown = F.least(matching, F.col("lim")).cast("bigint")
+    return members.join(found, "class", "left").select(
+        "q_id", "class", shown.alias("count"), shown.alias("total"), matching.alias("matching")
+    )
+
+
 def viewport_meta(jobs: DataFrame, viewports: DataFrame) -> DataFrame:
     """Per request: rows returned (``count`` and ``total``, which are the same by
     definition) and, beyond that, all rows that match."""
-    asked = accepted(check_viewports(viewports))
-    alike = group_alike(jobs)
-    pairs = match_viewports(alike, asked, alike.columns)
-    found = pairs.groupBy("q_id").agg(F.sum("n").alias("matching"))
-    return (
-        asked.select("q_id", "lim")
-        .join(found, "q_id", "left")
-        .select(
-            "q_id",
-            F.least(F.coalesce("matching", F.lit(0)), F.col("lim")).cast("bigint").alias("count"),
-            F.least(F.coalesce("matching", F.lit(0)), F.col("lim")).cast("bigint").alias("total"),
-            F.coalesce("matching", F.lit(0)).cast("bigint").alias("matching"),
-        )
-    )
+    classes, members = pyramid.classes(accepted(check_viewports(viewports)), BOX)
+    inside = pyramid.inside_box(F.col("level"), F.col("cell"), *[F.col(c) for c in BOX])
+    cells = cut_lineage(pin(viewport_cells(classes), inner=inside), "cells")
+    used = pyramid.used_of(cells)
+    inner = pyramid.met(cells.where("inner"), pyramid.counts(jobs, used, []))
+    border = pyramid.met(cells.where("not inner"), pyramid.counts(jobs, used, ["lat", "lng"]))
+    border = border.where(geo.in_box(F.col("lat"), F.col("lng"), *[F.col(c) for c in BOX]))
+    return _counted(classes, members, [inner, border]).drop("class")
 
 
 def nearby_meta(jobs: DataFrame, centers: DataFrame) -> DataFrame:
     """Per request: counts as in ``viewport_meta``, echo of centre and radius."""
-    asked = accepted(check_centers(centers))
-    alike = group_alike(jobs)
-    found = match_centers(alike, asked, alike.columns).groupBy("q_id").agg(F.sum("n").alias("matching"))
-    n = F.least(F.coalesce("matching", F.lit(0)), F.col("lim")).cast("bigint")
-    return asked.join(found, "q_id", "left").select(
-        "q_id", n.alias("count"), n.alias("total"), "lat", "lng", "radius_km"
+    classes, members = pyramid.classes(accepted(check_centers(centers)), CIRCLE)
+    cells = _center_cells(classes)
+    inner = pyramid.met(cells.where("inner"), pyramid.counts(jobs, pyramid.used_of(cells), []))
+    border = _at_points(jobs, cells.where("not inner").withColumn("reach_km", F.lit(None).cast("double")), [])
+    return _counted(classes, members, [inner, border]).join(classes.select("class", *CIRCLE), "class").select(
+        "q_id", "count", "total", *CIRCLE
     )
 
 

@@ -7,7 +7,8 @@ attempts is reduced before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
 
 def _ok():
     return F.col("ok") == 1
@@ -29,9 +30,10 @@ def counts(events: DataFrame) -> DataFrame:
 
 
 def error_rate(events: DataFrame) -> DataFrame:
-    """Share of failed attempts per board and of all (bbs NULL)."""
+    """Share of failed attempts per board and of all (``all_boards`` 1, bbs NULL)."""
     return events.rollup("bbs").agg(
-        F.count(F.lit(1)).alias("attempts"), F.avg(F.when(_ok(), 0.0).otherwise(1.0)).alias("error_rate")
+        F.grouping("bbs").cast("int").alias("all_boards"),
+        F.count(F.lit(1)).alias("attempts"), F.avg(F.when(_ok(), 0.0).otherwise(1.0)).alias("error_rate"),
     )
 
 
@@ -49,6 +51,34 @@ def retry_queue(events: DataFrame) -> DataFrame:
     )
 
 
+#: Numbers of a board are looked through in stretches of 2**STRETCH.
+STRETCH = 16
+
+
+def finished(events: DataFrame) -> DataFrame:
+    """(bbs, first_msgid, last_msgid): the runs of consecutive numbers that were stored.
+
+    Runs are found within stretches of numbers, then joined where one ends at its stretch's
+    end, so no task sorts all numbers of a board.
+    """
+    done = events.where(_ok() & F.col("msgid").isNotNull()).select("bbs", "msgid", F.shiftright("msgid", STRETCH).alias("part")).distinct()
+
+    def runs(df: DataFrame, keys: list[str]) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("first_msgid")
+        new = F.coalesce((F.col("first_msgid") > F.lag("last_msgid").over(order) + 1).cast("int"), F.lit(1))
+        upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(upto)).groupBy(*keys, "_run").agg(
+            F.min("first_msgid").alias("first_msgid"), F.max("last_msgid").alias("last_msgid")
+        ).drop("_run")
+
+    inner = runs(done.select("bbs", "part", F.col("msgid").alias("first_msgid"), F.col("msgid").alias("last_msgid")), ["bbs", "part"])
+    edge = F.lit((1 << STRETCH) - 1)
+    at_edge = (F.col("first_msgid").bitwiseAND(edge) == 0) | (F.col("last_msgid").bitwiseAND(edge) == edge)
+    # only runs that touch the end of their stretch can go on in another one
+    joined = runs(inner.where(at_edge).drop("part"), ["bbs"])
+    return inner.where(~at_edge).select("bbs", "first_msgid", "last_msgid").unionByName(joined)
+
+
 def sessions(events: DataFrame) -> DataFrame:
     """Per run: start, end, processed, failed."""
     return events.groupBy("run_id").agg(

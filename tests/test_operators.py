@@ -46,8 +46,7 @@ def passes(j, wmin, wmax, cat):
     )
 
 
-def test_viewport_batch_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(batch, "HOT_POINT_ROWS", 20)  # makes the shared point take the hot path
+def test_viewport_batch_equals_brute_force(spark):
     rows, df = jobs(spark, 900, hot=600)
     vps = viewports()
     got = {}

@@ -11,7 +11,8 @@ cut alike, and a fragment's task sees the pieces of all documents:
 3. Per listed n-gram the most typical document is the hub. Overlaps of hubs with the others
    of their lists are counted per fragment of the order and summed per pair.
 4. Only lists that still span several components give further pairs, each once, and only
-   where sizes and the overlaps with the hub leave 80 % possible. They are counted alike.
+   where sizes, the overlaps with the hub, the places of their first common n-gram and
+   sketches of both sets leave 80 % possible. They are counted alike.
 
 No list is expanded into all its pairs while it is connected, and none is cut short.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from postgeo.session import cut_lineage
 
 from .components import components
-from .words import blocks, shingle_sets
+from .words import blocks, mix, shingle_sets
 
 WIDTH = 5
 #: Text bytes per fragment of the n-gram order; at least MIN_FRAGMENTS, for long enough hashes.
@@ -40,6 +41,7 @@ BLOCK_SHINGLES = 1_500_000
 BLOCK_DOCS = 60_000
 #: Fragments in which the overlaps of a pair are counted separately.
 COUNTED_FRAGMENTS = 4
+SKETCH_BITS = 1024
 
 _SENT = pa.schema([
     ("route", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("ids", pa.list_(pa.int64())),
@@ -53,9 +55,9 @@ _SHARED = pa.schema([
 SHARED = "block long, kind int, part int, ids array<long>, a binary, b binary, c binary, d binary, e binary"
 _PROFILE = pa.schema([
     ("id", pa.int64()), ("sid", pa.binary()), ("n", pa.int64()), ("m", pa.int64()),
-    ("rare", pa.list_(pa.int64())), ("parts", pa.list_(pa.binary())),
+    ("rare", pa.list_(pa.int64())), ("parts", pa.list_(pa.binary())), ("sketch", pa.list_(pa.int64())),
 ])
-PROFILE = "id long, sid binary, n long, m long, rare array<long>, parts array<binary>"
+PROFILE = "id long, sid binary, n long, m long, rare array<long>, parts array<binary>, sketch array<long>"
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -72,6 +74,19 @@ def _code(part, h32: np.ndarray) -> np.ndarray:
     return (np.uint64(part) << np.uint64(32)) | h32.astype(np.uint64)
 
 
+def _own_route(block: int) -> int:
+    """Route of a block's own row, apart from the fragments; two blocks hardly ever share one,
+    so no task loads the rows of many blocks at once."""
+    return -1 - int(mix(np.array([block], np.uint64))[0] >> np.uint64(33))
+
+
+def _sketch(codes: np.ndarray) -> list[int]:
+    """Parities of a set's n-grams in SKETCH_BITS classes, as whole numbers. Sets that differ
+    in d n-grams differ in at most d of these bits."""
+    odd = np.bincount((mix(codes) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _block_rows(block: int, ids: list, sets: list[np.ndarray], seen: set, fragments: int) -> list[tuple]:
     sids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
     fresh = np.zeros(len(sets), bool)
@@ -109,7 +124,7 @@ def _block_rows(block: int, ids: list, sets: list[np.ndarray], seen: set, fragme
     codes = (part[held] << np.uint64(32)) | (h[held] & np.uint64(0xFFFFFFFF))
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     out.append((
-        fragments + block % fragments, block, 1, ids, n.tobytes(), b"".join(sids), fresh.tobytes(),
+        _own_route(block), block, 1, ids, n.tobytes(), b"".join(sids), fresh.tobytes(),
         codes.tobytes(), owner[held].tobytes(),
     ))
     return out
@@ -208,9 +223,9 @@ def _assembler(fragments: int):
                 rare = mine[: int(n[i] // 5 + 1 - (n[i] - m[i]))].astype(np.int64)
                 ordered = np.sort(mine)
                 parts = [p.tobytes() for p in np.split(ordered, np.searchsorted(ordered, borders))]
-                out.append((key, sid, int(n[i]), int(m[i]), rare, parts))
+                out.append((key, sid, int(n[i]), int(m[i]), rare, parts, _sketch(mine)))
             else:
-                out.append((key, sid, int(n[i]), None, None, None))
+                out.append((key, sid, int(n[i]), None, None, None, None))
         return pa.Table.from_batches([_table(out, _PROFILE)])
 
     return assemble
@@ -243,7 +258,7 @@ def _linked(x, na, nb):
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """(id, sid, n, m, rare, parts) per row of ``docs``; see the module text. Written."""
+    """(id, sid, n, m, rare, parts, sketch) per row of ``docs``; see the module text. Written."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     fragments = max(MIN_FRAGMENTS, -(-size // FRAGMENT_BYTES))
     sent = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
@@ -278,18 +293,22 @@ def links(nodes: DataFrame) -> DataFrame:
     placed = cut_lineage(placed, "placed")
     open_lists = placed.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
     rest = cut_lineage(
-        placed.where("sid <> hub").join(open_lists.select("gram"), "gram").join(nodes.select("sid", "rare"), "sid")
-        .withColumn("before", F.expr("slice(rare, 1, pos)")).drop("rare", "hub", "pos"),
+        placed.where("sid <> hub").join(open_lists.select("gram"), "gram").join(nodes.select("sid", "rare", "sketch"), "sid")
+        .withColumn("before", F.expr("slice(rare, 1, pos)")).drop("rare", "hub"),
         "rest",
     )
     p, q = rest.alias("p"), rest.alias("q")
     common = F.least("p.m", "q.m")
     bound = F.least("p.x", "q.x") + F.least(F.col("p.m") - F.col("p.x"), F.col("q.m") - F.col("q.x"))
+    # they have no n-gram in common that is rarer than this one
+    later = F.least(F.col("p.m") - F.col("p.pos"), F.col("q.m") - F.col("q.pos"))
+    apart = sum((F.bit_count(F.get("p.sketch", F.lit(i)).bitwiseXOR(F.get("q.sketch", F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
     more = cut_lineage(
         p.join(
             q,
             (F.col("p.gram") == F.col("q.gram")) & (F.col("p.sid") < F.col("q.sid")) & (F.col("p.root") != F.col("q.root"))
             & _linked(common, F.col("p.n"), F.col("q.n")) & _linked(bound, F.col("p.n"), F.col("q.n"))
+            & _linked(later, F.col("p.n"), F.col("q.n")) & (9 * (F.col("p.m") + F.col("q.m") - apart) >= 8 * (F.col("p.n") + F.col("q.n")))
             & ~F.arrays_overlap("p.before", "q.before"),
         ).select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")),
         "more",
@@ -311,7 +330,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prof = profiles(docs, id_col, text_col, width)
     nodes = cut_lineage(
-        prof.where("m is not null").groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "m", "rare", "parts")]), "nodes"
+        prof.where("m is not null").groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "m", "rare", "parts", "sketch")]), "nodes"
     )
     roots = components(links(nodes))
     lean = prof.select("id", "sid", "n")

@@ -8,6 +8,7 @@ about GROUP pieces, so a group's memory is bounded and no task sees the whole co
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -25,38 +26,57 @@ from .bpe import Ranks
 
 GROUP = 4096
 _PIECES = "uid long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-_encoders: dict[tuple[str, str], tuple] = {}
+_encoders: dict[tuple, tuple] = {}
 
 
-def _encoder(path: str, pattern: str):
+def _encoder(path: str, pattern: str, special: tuple[tuple[str, int], ...]):
     """The library's encoder; texts with very long runs of white space go to our own,
-    as they exceed the library's limits for its pattern."""
-    if (path, pattern) not in _encoders:
+    as they exceed the library's limits for its pattern. Strings of ``special`` tokens are
+    their ids, whatever stands around them."""
+    key = path, pattern, special
+    if key not in _encoders:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _encoders[path, pattern] = fast.encode_ordinary, regex.compile(r"\s{2000}")
-    fast, gap = _encoders[path, pattern]
+        fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
+        _encoders[key] = fast, regex.compile(r"\s{2000}"), dict(special)
+    fast, gap, ids_of = _encoders[key]
+    cut = regex.compile("(" + "|".join(map(regex.escape, sorted(ids_of, key=len, reverse=True))) + ")") if ids_of else None
 
     def ids(text: str) -> np.ndarray:
-        if gap.search(text):
-            return np.frombuffer(Ranks.load(path, pattern).encode([text])[0], "<u4")
-        return np.array(fast(text), "<u4")
+        if not gap.search(text):
+            return np.array(fast.encode(text, allowed_special="all", disallowed_special=()), "<u4")
+        parts = cut.split(text) if cut else [text]
+        own = Ranks.load(path, pattern)
+        out = [np.array([ids_of[p]], "<u4") if p in ids_of else np.frombuffer(own.encode([p])[0], "<u4") for p in parts if p]
+        return np.concatenate(out) if out else np.zeros(0, "<u4")
 
     return ids
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that a ``tokenizers`` file adds to its vocabulary, for ``special``. Only tokens
+    that match as they stand, anywhere, are taken; others are refused."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("added tokens with conditions are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 def pieces(
-    docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str, end_id: int, length: int
+    docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str, end_id: int, length: int,
+    special: dict[str, int] | None = None,
 ) -> DataFrame:
     """(uid, doc_id, start, length, ids_crc32, doc_tokens): pieces of at most ``length`` ids.
 
     ``path`` is a rank file of byte-level BPE. Every row, also with a null or empty text,
-    has at least the end id. ``uid`` tells pieces apart, also of repeated rows.
+    has at least the end id. Strings of ``special`` tokens become their ids. ``uid`` tells pieces apart, also of repeated rows.
     """
 
+    marks = tuple(sorted((special or {}).items()))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, uid = _encoder(path, pattern), TaskContext.get().partitionId() << 33
+        encode, uid = _encoder(path, pattern, marks), TaskContext.get().partitionId() << 33
         for batch in batches:
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -123,14 +143,15 @@ def pack(cut: DataFrame, length: int, group: int = GROUP) -> DataFrame:
 
 def pack_documents(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    end_id: int = 1, length: int = 2048,
+    end_id: int = 1, length: int = 2048, special: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pieces of all documents with their places in sequences: doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts give one piece, the end id. Repeated rows are packed each. Other
+    ``special``: strings that are tokens of their own (see ``added_tokens``); without it all text
+    is plain. Null and empty texts give one piece, the end id. Repeated rows are packed each. Other
     columns of ``docs`` are not read; ids are cast to long, null ids stay null. An empty
     table gives no rows.
     """
-    cut = cut_lineage(pieces(docs, id_col, text_col, path, pattern, end_id, length), "pieces")
+    cut = cut_lineage(pieces(docs, id_col, text_col, path, pattern, end_id, length, special), "pieces")
     return pack(cut, length).drop("uid")

@@ -127,6 +127,36 @@ def test_jaccard_threshold_is_exact(spark):
     assert Counter(tuple(r) for r in got.collect()) == brute_components(rows)
 
 
+def test_rows_of_blocks_go_to_groups_of_their_own():
+    """Blocks of few or many scan tasks: hardly two share a group, for any number of fragments."""
+    for tasks in (4, 100, 5000):
+        routes = Counter(jaccard._own_route((task << 24) + k) for task in range(tasks) for k in range(2))
+        assert max(routes.values()) <= 2 and max(routes) < 0
+
+
+def test_texts_from_a_pool_of_sentences(spark, monkeypatch):
+    """Texts that share sentences but are not similar: pairs to count grow less than fourfold."""
+    counted = []
+    overlaps = jaccard.overlaps
+
+    def spy(pairs, nodes):
+        counted.append(pairs.count())
+        return overlaps(pairs, nodes)
+
+    monkeypatch.setattr(jaccard, "overlaps", spy)
+    pool = [prose(random.Random(s), 12) for s in range(40)]
+    seen = {}
+    for n in (300, 600):
+        rng = random.Random(9)
+        rows = [(i, " ".join(rng.sample(pool, 6))) for i in range(n)]
+        counted.clear()
+        got = Counter(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+        if n == 300:
+            assert got == brute_components(rows)
+        seen[n] = sum(counted)
+    assert seen[600] < 4 * max(seen[300], 300)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in components(links).collect()} == {1}
@@ -168,10 +198,13 @@ def test_bpe_on_random_bytes_and_runs(reference_encoder):
 
 def test_packing_places_every_token_once(documents):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
+    marks = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|>x", "x<|endoftext|><|endoftext|>", "<|endoftext|>" + " " * 2500 + "<|endoftext|> y", "<|ENDOFTEXT|> <|endoftext"]
+    more = documents.sparkSession.createDataFrame([(100_000 + i, t, None, None, None) for i, t in enumerate(marks)], SCHEMA)
+    documents = documents.unionByName(more)
     rows = documents.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()
     ids = {r.doc_id: np.array(library.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4") for r in rows}
-    got = collected(packing.pack_documents(documents, RANKS, PATTERN))
+    special = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    got = collected(packing.pack_documents(documents, RANKS, PATTERN, special=special))
     copies = Counter(r.doc_id for r in documents.collect())
     pieces = defaultdict(list)
     for g in got:

@@ -24,19 +24,22 @@ from postgeo.session import cut_lineage
 from .components import components
 from .words import mix
 
-#: Corners kept on each scale, strongest first; a scale halves width and height.
-CORNERS = (12, 6)
+#: A scale halves width and height. A corner is the strongest place within so many pixels of
+#: its scale, so their number follows the picture's area and a crop keeps those inside it.
+SCALES, APART = 2, 6
 RADIUS, ANGLES = 7, 16
 #: Similar descriptors: so many bits of 128 may differ. Copies: so many shared table entries
 #: (each descriptor has two), then so many agreeing corners.
 BITS, VOTES, AGREEING = 14, 6, 4
 SHIFT = 3.0
-BATCH = 256
+#: Pictures, and pixels of pictures, described at a time; a larger picture stands alone.
+BATCH, PIXELS = 256, 1 << 20
 
 _rng = np.random.default_rng(20)
 _OFFSETS = _rng.normal(0, RADIUS / 2.2, (128, 2, 2)).clip(-RADIUS + 1, RADIUS - 1)
 _TURNED = np.stack([
-    np.rint(_OFFSETS @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])).astype(np.int64)
+    # offsets are (y, x), turned the way the patch is
+    np.rint(_OFFSETS @ np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]])).astype(np.int64)
     for a in 2 * np.pi * np.arange(ANGLES) / ANGLES
 ])
 _disc = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if x * x + y * y <= RADIUS * RADIUS])
@@ -64,7 +67,16 @@ def _box(a: np.ndarray, k: int) -> np.ndarray:
     return sum(rows[:, :, i : i + a.shape[2]] for i in range(k))
 
 
-def _corners(images: np.ndarray, scale: int, most: int) -> list[np.ndarray]:
+def _highest(a: np.ndarray, k: int) -> np.ndarray:
+    """Largest value within ``k`` rows and columns; the border repeats."""
+    for axis in (1, 2):
+        p = np.pad(a, [(k, k) if i == axis else (0, 0) for i in range(3)], mode="edge")
+        n = a.shape[axis]
+        a = np.max([np.take(p, np.arange(i, i + n), axis) for i in range(2 * k + 1)], axis=0)
+    return a
+
+
+def _corners(images: np.ndarray, scale: int) -> list[np.ndarray]:
     """Corners of equally large images (a stack of float grey values)."""
     n, h, w = images.shape
     edge = RADIUS + 1
@@ -74,17 +86,9 @@ def _corners(images: np.ndarray, scale: int, most: int) -> list[np.ndarray]:
     gy, gx = np.gradient(smooth, axis=(1, 2))
     xx, yy, xy = _box(gx * gx, 5), _box(gy * gy, 5), _box(gx * gy, 5)
     strength = xx * yy - xy * xy - 0.04 * (xx + yy) ** 2
-    inner = strength[:, edge:-edge, edge:-edge]
-    around = np.full_like(inner, -np.inf)
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            if dy or dx:
-                np.maximum(around, strength[:, edge + dy : h - edge + dy, edge + dx : w - edge + dx], out=around)
-    flat = np.where((inner > around) & (inner > 1.0), inner, 0).reshape(n, -1)
-    top = np.argsort(-flat, axis=1, kind="stable")[:, :most]
-    good = np.take_along_axis(flat, top, 1) > 0
-    who, place = np.repeat(np.arange(n), good.sum(1)), top[good]
-    y, x = place // inner.shape[2] + edge, place % inner.shape[2] + edge
+    found = (strength >= _highest(strength, APART)) & (strength > 1.0)
+    who, y, x = np.nonzero(found[:, edge:-edge, edge:-edge])
+    y, x = y + edge, x + edge
     patch = smooth[who[:, None], y[:, None] + _disc[:, 0], x[:, None] + _disc[:, 1]]
     patch = patch - patch.mean(1, keepdims=True)
     turn = np.arctan2(patch @ _disc[:, 0], patch @ _disc[:, 1])
@@ -95,7 +99,7 @@ def _corners(images: np.ndarray, scale: int, most: int) -> list[np.ndarray]:
     out = np.zeros(len(who), CORNER)
     out["x"], out["y"], out["scale"], out["angle"] = x * 2.0**scale, y * 2.0**scale, scale, angle
     out["d0"], out["d1"] = bits[:, 0], bits[:, 1]
-    return np.split(out, np.cumsum(good.sum(1))[:-1])
+    return np.split(out, np.searchsorted(who, np.arange(1, n)))
 
 
 def describe(images: list[np.ndarray | None]) -> list[bytes]:
@@ -106,12 +110,13 @@ def describe(images: list[np.ndarray | None]) -> list[bytes]:
         if im is not None:
             by_shape.setdefault(im.shape, []).append(i)
     for at in by_shape.values():
-        for a in range(0, len(at), BATCH):
-            part = at[a : a + BATCH]
+        many = max(1, min(BATCH, PIXELS // max(1, images[at[0]].size)))
+        for a in range(0, len(at), many):
+            part = at[a : a + many]
             stack = np.stack([images[i] for i in part]).astype(np.float32)
             found = [[] for _ in part]
-            for scale, most in enumerate(CORNERS):
-                for f, c in zip(found, _corners(stack, scale, most)):
+            for scale in range(SCALES):
+                for f, c in zip(found, _corners(stack, scale)):
                     f.append(c)
                 h, w = stack.shape[1] // 2 * 2, stack.shape[2] // 2 * 2
                 stack = (stack[:, 0:h:2, 0:w:2] + stack[:, 1:h:2, 0:w:2] + stack[:, 0:h:2, 1:w:2] + stack[:, 1:h:2, 1:w:2]) / 4
@@ -183,27 +188,25 @@ def copies(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
     """(id_col, n_corners, copy_group) per row; image_col: binary PGM.
 
     copy_group is the smallest id that links reach. Null, damaged and too small images have
-    no corners and are alone. Rows of the same id count as one image (one of them) and
-    share a group; a null id has group null. Images of equal corners are compared as one. An empty
-    table gives no rows; other columns are not read.
+    no corners and are alone. Rows of one id share a group, and what any of their pictures
+    links with; a null id has group null. Images of equal corners are compared as one. An
+    empty table gives no rows; other columns are not read.
     """
     found = (
         media.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("image"))
         .mapInArrow(_describe_rows, "id long, corners binary").withColumn("digest", F.unhex(F.md5("corners")))
     )
     found = cut_lineage(found, "corners")
-    rows = found.select("id", "digest", F.length("corners").alias("size"))
-    one = F.max(F.struct("digest", "size"))
-    rows = cut_lineage(
-        rows.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), one.alias("it")).select("id", "rows", "it.*"), "images"
-    )
-    # equal descriptions (also whole groups of plain copies) are compared through one image
-    some = rows.where("id is not null and size > 0").select("id", "digest")
-    first = cut_lineage(some.groupBy("digest").agg(F.min("id").alias("first")), "first")
-    same = found.join(first.select("digest", F.col("first").alias("id")), ["digest", "id"], "left_semi")
-    same = cut_lineage(same.groupBy("id").agg(F.first("corners").alias("corners")), "distinct")
-    links = some.join(first, "digest").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    entries = same.mapInArrow(_entries, "entry long, id long")
+    # equal descriptions (also whole groups of plain copies) are compared as one picture
+    some = found.where("id is not null and length(corners) > 0")
+    same = some.groupBy("digest").agg(F.first("corners").alias("corners"), F.min("id").alias("low"))
+    same = cut_lineage(same.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    held = some.select(F.col("id").alias("owner"), "digest").join(same.select("digest", F.col("id").alias("picture")), "digest")
+    held = cut_lineage(held.select("owner", "picture").distinct(), "held")
+    # pictures of one id
+    least = held.groupBy("owner").agg(F.min("picture").alias("a"), F.max("picture").alias("b")).where("a <> b")
+    links = held.join(least.select("owner", "a"), "owner").where("a <> picture").select("a", F.col("picture").alias("b"))
+    entries = same.select("id", "corners").mapInArrow(_entries, "entry long, id long")
     hubs = entries.groupBy("entry").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last")
     around = cut_lineage(entries.join(hubs.select("entry", "hub"), "entry"), "around")
     votes = around.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -225,11 +228,15 @@ def copies(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
     rest = p.join(q, across).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
     links = links.union(_linked(rest, same))
     roots = components(links)
-    grouped = rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    return grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
-        F.col("id").alias(id_col), (F.col("size") / CORNER.itemsize).cast("long").alias("n_corners"),
-        F.coalesce("root", "id").alias("copy_group"),
+    placed = same.select("id", "low").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(
+        F.col("id").alias("picture"), F.coalesce("root", "id").alias("root"), "low"
     )
+    lowest = placed.groupBy("root").agg(F.min("low").alias("copy_group"))
+    # all pictures of an id have one root
+    owners = held.groupBy("owner").agg(F.min("picture").alias("picture")).join(placed, "picture").join(lowest, "root")
+    rows = found.select("id", (F.length("corners") / CORNER.itemsize).cast("long").alias("n_corners"))
+    grouped = rows.join(owners.select(F.col("owner").alias("id"), "copy_group"), "id", "left")
+    return grouped.select(F.col("id").alias(id_col), "n_corners", F.coalesce("copy_group", "id").alias("copy_group"))
 
 
 # --- pictures for tables that have none ----------------------------------------------
@@ -246,7 +253,8 @@ def _spread(k: int, size: int) -> np.ndarray:
 
 
 def draw(scenes: np.ndarray, edits: np.ndarray, size: int = 64) -> np.ndarray:
-    """Grey pictures of scenes (numbers), cropped and edited as the numbers ``edits`` say."""
+    """Grey pictures of scenes (numbers), cropped, lit, turned by quarters, grained and stamped
+    as the numbers ``edits`` say."""
     n, whole = len(scenes), size + 12
     noise = mix(np.add.outer(scenes.astype(np.uint64) * np.uint64(1000), np.arange(25 * 25 + 11 * 11, dtype=np.uint64)))
     grey = (noise >> np.uint64(40)).astype(np.float32) / (1 << 24)
@@ -258,15 +266,24 @@ def draw(scenes: np.ndarray, edits: np.ndarray, size: int = 64) -> np.ndarray:
     dx, dy = ((e >> np.uint64(8)) % np.uint64(13)).astype(int), ((e >> np.uint64(16)) % np.uint64(13)).astype(int)
     gain = np.where(plain, 1.0, 0.7 + ((e >> np.uint64(24)) % np.uint64(30)).astype(float) / 100)
     lift = np.where(plain, 0.0, ((e >> np.uint64(32)) % np.uint64(40)).astype(float) / 400)
+    turns = np.where(plain, 0, (e >> np.uint64(40)) % np.uint64(4)).astype(int)
+    grain = np.where(plain, 0, (e >> np.uint64(44)) % np.uint64(3)).astype(int)
     out = np.empty((n, size, size), np.uint8)
     for i in range(n):
         part = scene[i, dy[i] : dy[i] + size, dx[i] : dx[i] + size] * gain[i] + lift[i]
         if not plain[i]:
             part[:10, :14] = 1.0
-        out[i] = np.clip(part * 255, 0, 255)
+        part = part * 255
+        if grain[i]:
+            part = part + grain[i] * (_noise(e[i], size * size).reshape(size, size) - 0.5)
+        out[i] = np.rot90(np.clip(part, 0, 255), turns[i])
     return out
 
 
+def _noise(seed: np.uint64, n: int) -> np.ndarray:
+    return (mix(seed + np.arange(n, dtype=np.uint64)) >> np.uint64(40)).astype(np.float32) / (1 << 24)
+
+
 def lead_images(pages: DataFrame, page_id: str, scene: Column) -> DataFrame:
     """(page_id, image): a binary PGM per page that shows its scene, in an edit of its own."""
 

@@ -130,7 +130,9 @@ def judge(
     marks = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_good"))
     share = min(1.0, labelled_rows / max(1, marks.count()))
     drawn = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = drawn.join(lean.select("_id", "x"), "_id").select("x", "_good").collect()
+    # one row per labelled id, however often it stands among the documents
+    one = F.min(F.struct("x", "_good")).alias("one")
+    rows = drawn.join(lean.select("_id", "x"), "_id").groupBy("_id").agg(one).select("one.*").collect()
     weights = fit(np.array([r["x"] for r in rows]), np.array([r["_good"] for r in rows]))
     known, total = sites(lean.select("host", "path", chance(F.col("x"), weights).alias("p")))
     known = known.withColumnsRenamed({"host": "__host", "path": "__path", **new})

@@ -512,6 +512,65 @@ def test_image_copies_and_odd_images(spark):
     assert images.copies(df.limit(0), "page_id", "image").count() == 0
 
 
+def _pgm(p):
+    return b"P5\n%d %d\n255\n" % (p.shape[1], p.shape[0]) + np.ascontiguousarray(p).tobytes()
+
+
+def _edits(p, rng):
+    """One copy of a picture of 128 pixels per kind of edit."""
+    half, quarter = 90, 64
+    y, x = rng.randrange(128 - half), rng.randrange(128 - half)
+    v, u = rng.randrange(128 - quarter), rng.randrange(128 - quarter)
+    grain = np.random.default_rng(rng.randrange(1 << 30)).integers(-2, 3, p.shape)
+    stamped = p.copy()
+    stamped[:25, :40] = 255
+    f = p.astype(np.float32)
+    return {
+        "turned 90": np.rot90(p), "turned 180": np.rot90(p, 2), "turned 270": np.rot90(p, 3),
+        "half": p[y : y + half, x : x + half], "quarter": p[v : v + quarter, u : u + quarter],
+        "turned quarter": np.rot90(p[v : v + quarter, u : u + quarter]),
+        "darker": (p * 0.8).astype(np.uint8), "lighter": np.minimum(255, p * 0.9 + 20).astype(np.uint8), "stamped": stamped,
+        "grained": np.clip(p.astype(int) + grain, 0, 255).astype(np.uint8),
+        "half size": ((f[0::2, 0::2] + f[1::2, 0::2] + f[0::2, 1::2] + f[1::2, 1::2]) / 4).astype(np.uint8),
+    }
+
+
+def test_recall_of_copies_per_kind_of_edit(spark):
+    rng = random.Random(8)
+    # the edit number 0 is none
+    plain = images.draw(np.arange(40, dtype=np.uint64) + np.uint64(5000), _plain_edits(40), 128)
+    rows, kinds = [], {}
+    for i, p in enumerate(plain):
+        rows.append((1000 * i, _pgm(p)))
+        for k, (kind, q) in enumerate(_edits(p, rng).items()):
+            rows.append((1000 * i + k + 1, _pgm(q)))
+            kinds.setdefault(kind, []).append((1000 * i, 1000 * i + k + 1))
+    df = spark.createDataFrame(rows, "id long, image binary").repartition(8)
+    group = {r.id: r.copy_group for r in images.copies(df, "id", "image").collect()}
+    assert all(group[a] // 1000 == a // 1000 for a in group)  # no two scenes are joined
+    corners = {k: np.frombuffer(c, images.CORNER) for k, c in zip([r[0] for r in rows], images.describe([images.parse_pgm(r[1]) for r in rows]))}
+    for kind, pairs in kinds.items():
+        direct = np.mean([images.agreeing(corners[a], corners[b]) >= images.AGREEING for a, b in pairs])
+        recall = np.mean([group[a] == group[b] for a, b in pairs])
+        print(f"{kind}: recall {recall:.2f}, compared directly {direct:.2f}")
+        assert recall >= 0.9, kind
+
+
+def _plain_edits(n):
+    """Numbers whose edit leaves the picture as it is, but for a shift."""
+    every = np.arange(10 * n, dtype=np.uint64)
+    return every[images.mix(every + np.uint64(77)) % np.uint64(4) == 0][:n]
+
+
+def test_all_pictures_of_an_id_count(spark):
+    plain = images.draw(np.arange(4, dtype=np.uint64) + np.uint64(9000), _plain_edits(4), 128)
+    a, b, c, d = map(_pgm, plain)
+    rows = [(1, a), (1, b), (1, None), (2, b), (3, a), (4, c), (5, d), (5, c), (6, d), (7, None)]
+    group = {(r.id, r.n_corners > 0): r.copy_group for r in images.copies(spark.createDataFrame(rows, "id long, image binary"), "id", "image").collect()}
+    assert {group[i, True] for i in (1, 2, 3)} == {1} and group[1, False] == 1
+    assert {group[i, True] for i in (4, 5, 6)} == {4} and group[7, False] == 7
+
+
 # --- empty tables -------------------------------------------------------------------------
 
 

@@ -184,6 +184,13 @@ O["nearby_meta"] = f"""
 SELECT v.q_id, least(coalesce(n, 0), coalesce(lim, 100)) AS count, least(coalesce(n, 0), coalesce(lim, 100)) AS total,
   round(lat,6) AS lat, round(lng,6) AS lng, round(radius_km,6) AS radius_km
 FROM centers_fx v LEFT JOIN (SELECT q_id, count(*) AS n FROM ({_circle}) GROUP BY q_id) m ON m.q_id = v.q_id WHERE {_cok}"""
+_search = f"""{_opt} AND (v.q_id % 4 <> 1 OR j.category IN ('retail', 'cleaning'))
+  AND (v.q_id % 6 NOT IN (1, 2, 3) OR contains(lower(j.title), CASE v.q_id % 6 WHEN 1 THEN 'urgent' WHEN 2 THEN '5-l' ELSE 'h' END))"""
+O["viewport_search"] = f"""
+SELECT q_id, rn, id, title, category, {ts('posted_at')} AS posted_at FROM ({_pairs.replace(_opt, _search)}) WHERE rn <= l"""
+O["viewport_search_meta"] = O["viewport_meta"].replace(_opt, _search)
+O["nearby_search"] = O["nearby_batch"].replace(_opt, _search).replace("j.id, j.lat, j.lng, j.category", "j.id, j.lat, j.lng, j.title, j.category").replace(
+    "round(lat,6) AS lat, round(lng,6) AS lng, category", "title, category")
 _zc = "(70.3125 / pow(2, zoom))"
 
 
@@ -202,6 +209,10 @@ O["clusters_meta"] = f"""
 SELECT v.q_id, v.zoom, coalesce(n, 0) AS cluster_count FROM viewports_fx v
 LEFT JOIN (SELECT q_id, count(*) AS n FROM ({_gc}) GROUP BY q_id) c ON c.q_id = v.q_id WHERE {_bbox_ok} AND v.zoom BETWEEN 0 AND 20"""
 O["cluster_children"] = f"SELECT {grid('11')} AS cluster_id, id AS child_id FROM jobs_fx"
+O["cluster_children_batch"] = f"""
+WITH kids AS ({boxed(f"v.q_id, j.id AS child_id, {grid('v.zoom', 'j.lng', 'j.lat')} AS cluster_id", 'AND zoom BETWEEN 0 AND 20')}),
+sized AS (SELECT q_id, cluster_id, row_number() OVER (PARTITION BY q_id ORDER BY count(*) DESC, cluster_id) AS r FROM kids GROUP BY q_id, cluster_id)
+SELECT kids.* FROM kids JOIN sized USING (q_id, cluster_id) WHERE r = 1"""
 O["cluster_sample"] = f"""
 SELECT cluster_id, rn, id, {ts('posted_at')} AS posted_at FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY posted_at DESC NULLS FIRST, id) AS rn
   FROM (SELECT *, {grid('12')} AS cluster_id FROM jobs_fx)) WHERE rn <= 3"""
@@ -498,7 +509,7 @@ _short = "coalesce(length({0}), 0) < 50"
 _lead = r"[^<\p{L}]*?"
 SEGMENTS = f"""
 pg AS (SELECT url, bbs, fetched_at, {visible('html')} AS page FROM raw_pages_fx WHERE html IS NOT NULL),
-cut0 AS (SELECT *, TRY_CAST({find('url', 'msgid=(<D>+)')} AS BIGINT) AS own, regexp_replace(page, '{rx('(?i)>(' + _lead + 'No[.]<D>+)([^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]|$)')}', '>' || chr(1) || '\\1\\2', 'g') AS c FROM pg),
+cut0 AS (SELECT *, TRY_CAST({find('url', 'msgid=(<D>+)')} AS BIGINT) AS own, CASE WHEN regexp_matches(page, '{rx('(?i)>[<W>]*No[.]<D>+([^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]|$)')}') THEN regexp_replace(page, '{rx('(?i)>(' + _lead + 'No[.]<D>+)([^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]|$)')}', '>' || chr(1) || '\\1\\2', 'g') ELSE page END AS c FROM pg),
 cut AS (SELECT *, string_split(CASE WHEN own IS NULL OR regexp_matches(c, '(?i)' || chr(1) || '{_lead}No[.]0*' || own || '([^\\p{{L}}\\p{{N}}_]|$)') THEN c
   ELSE regexp_replace(c, '(?is)(>(?:[^<>' || chr(1) || ']*?[^<>\\p{{L}}\\p{{N}}_' || chr(1) || '])?)(No[.]0*' || own || '(?:[^\\p{{L}}\\p{{N}}_]|$))', '\\1' || chr(1) || '\\2') END, chr(1)) AS parts FROM cut0),
 seg0 AS (SELECT url, bbs, fetched_at, page, unnest(CASE WHEN len(parts) > 1 THEN parts[2:] ELSE [NULL] END) AS segment,

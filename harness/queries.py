@@ -164,6 +164,27 @@ def q_nearby_batch(s, d):
     return tidy(batch.nearby_batch(jobs(s, d), view(s, d, "centers_fx"), ["id", "lat", "lng", "category"]))
 
 
+def searched(s, d, name):
+    """Requests with category sets and search texts: some with one, some with both, most without."""
+    v = view(s, d, name)
+    sets = F.when(F.col("q_id") % 4 == 1, F.array(F.lit("retail"), F.lit("cleaning"))).when(F.col("q_id") % 4 == 2, F.array().cast("array<string>"))
+    text = F.when(F.col("q_id") % 6 == 1, "Urgent").when(F.col("q_id") % 6 == 2, "5-L").when(F.col("q_id") % 6 == 3, "h")
+    return v.withColumns({"categories": sets, "text": text})
+
+
+def q_viewport_search(s, d):
+    cols = ["id", "title", "category", "posted_at"]
+    return tidy(batch.viewport_batch(jobs(s, d), searched(s, d, "viewports_fx"), cols))
+
+
+def q_nearby_search(s, d):
+    return tidy(batch.nearby_batch(jobs(s, d), searched(s, d, "centers_fx"), ["id", "title", "category"]))
+
+
+def q_viewport_search_meta(s, d):
+    return batch.viewport_meta(jobs(s, d), searched(s, d, "viewports_fx"))
+
+
 def q_viewport_meta(s, d):
     return batch.viewport_meta(jobs(s, d), view(s, d, "viewports_fx"))
 
@@ -196,6 +217,13 @@ def q_cluster_children(s, d):
     return cluster.cluster_children(jobs(s, d), 11)
 
 
+def q_cluster_children_batch(s, d):
+    """Children of the largest cluster of every request."""
+    j = jobs(s, d)
+    asked = cut_lineage(cluster.largest_clusters(j, view(s, d, "viewports_fx")), "asked")
+    return cluster.children_of(j, asked)
+
+
 def q_cluster_sample(s, d):
     return tidy(cluster.cluster_sample(jobs(s, d), 12, 3).select("cluster_id", "rn", "id", "posted_at"))
 
@@ -298,10 +326,8 @@ def q_regions_migrate(s, d):
 
 
 def q_post_url(s, d):
-    first = F.min(F.struct("id", "listing_url"))
-    r = view(s, d, "regions_fx").groupBy("bbs").agg(first.alias("r")).select("bbs", F.col("r.listing_url").alias("listing_url"))
-    p = view(s, d, "posts_fx").select("bbs", "msgid").join(r, "bbs")
-    return p.select("bbs", "msgid", "listing_url", segment.post_url(F.col("listing_url"), F.col("bbs"), F.col("msgid"), NEW_HOST).alias("url"))
+    p = segment.with_post_urls(view(s, d, "posts_fx").select("bbs", "msgid"), view(s, d, "regions_fx"), NEW_HOST)
+    return p.select("bbs", "msgid", "listing_url", "url")
 
 
 # --- text ---------------------------------------------------------------------------------

@@ -13,7 +13,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.pin import pin
 from . import fixed as X
+from .fixed import SPACE_CHARS, rx
 from .text import ascii_digits, collapse, contains_ci, distinct_ci, find_all, find_first, first_word, strip
 
 BIGINT_MAX = 9223372036854775807
@@ -148,6 +150,27 @@ def search_form(text: Column) -> Column:
     return F.lower(text)
 
 
+# Street, area and store patterns consist of these characters only. A text is cut at all
+# others, the pieces without an anchor (a street word before a comma or space, a city, an
+# area word) are left out, and the patterns run over the rest. No match can reach across
+# a cut, so the result is that over the whole text.
+CUT = "\u0001"
+_AREA_SIGNS = "".join(sorted({c for c in X.AREA_WORDS if ord(c) > 127}))
+_BARRIER = rf"[^{LETTERS}<D><W>,&・/{_AREA_SIGNS}]+"
+STREET_ANCHORS = [w.lower() + c for w in X.STREET_WORDS_LONG.split("|") for c in " ,"]
+AREA_ANCHORS = [w.lower() for w in [*X.AREA_CITIES.split("|"), *X.AREA_WORDS.split("|")]]
+
+
+def pieces(text: Column) -> Column:
+    return F.split(text, rx(_BARRIER))
+
+
+def anchored(text_pieces: Column, low_pieces: Column, anchors: list[str]) -> Column:
+    """The pieces whose search form holds an anchor, with cuts between them."""
+    held = F.zip_with(text_pieces, low_pieces, lambda t, low: F.when(contains_ci(low, anchors), t))
+    return F.array_join(F.filter(held, lambda t: t.isNotNull()), CUT)
+
+
 def _found_if(condition: Column, matches: Column) -> Column:
     return F.when(condition, matches).otherwise(F.array().cast("array<string>"))
 
@@ -200,31 +223,36 @@ def store_addresses(text: Column) -> Column:
 
 
 def with_addresses(df: DataFrame, text: str, out: str, mode: str = "reference") -> DataFrame:
-    """Adds all addresses of a text, first by kind of rule, then by place.
+    """Adds all addresses of a text, first by kind of rule, then by place. A null text has none.
 
     ``mode='reference'`` keeps the loose street rules, under which a street word
     may sit inside another word; ``mode='strict'`` wants a house number and a
     whole street word.
 
-    The lower-case form and the first street rule are columns of their own: many
-    rules use the one, and where the other finds nothing the narrower numbered
+    Each text is cut once and the rules for streets and areas run over its anchored pieces
+    (see ``anchored``). Where the first street rule finds nothing, the narrower numbered
     rules cannot find anything either and are skipped.
     """
-    body, low, numbered = F.col(text), F.col("_low"), F.col("_numbered")
+    body, low, streets, numbered = F.col(text), F.col("_low"), F.col("_streets"), F.col("_numbered")
     first = STREET_PATTERNS[0] if mode == "reference" else STRICT_PATTERN
-    df = df.withColumn("_low", search_form(body)).withColumn("_numbered", find_all(body, first))
+    df = pin(df, _low=search_form(body))
+    # the search form keeps the cuts, as no other character folds to one of the pieces
+    df = pin(df, _pieces=pieces(body), _low_pieces=pieces(F.regexp_replace(low, f"[{SPACE_CHARS}]", " ")))
+    cut = [F.col("_pieces"), F.col("_low_pieces")]
+    df = pin(df, _streets=anchored(*cut, STREET_ANCHORS), _areas=anchored(*cut, AREA_ANCHORS)).drop("_pieces", "_low_pieces")
+    df = df.withColumn("_numbered", find_all(streets, first))
     some = F.size("_numbered") > 0
     if mode == "reference":
-        streets = [
+        found = [
             _trimmed(numbered, 10),
-            _found_if(some, _trimmed(find_all(body, STREET_PATTERNS[1]), 10)),
-            _trimmed(find_all(body, STREET_PATTERNS[2]), 10),
+            _found_if(some, _trimmed(find_all(streets, STREET_PATTERNS[1]), 10)),
+            _trimmed(find_all(streets, STREET_PATTERNS[2]), 10),
         ]
-        stores = [_found_if(some, store_addresses(body))]
+        stores = [_found_if(some, store_addresses(streets))]
     else:
-        streets, stores = [_trimmed(numbered, 10)], []
-    parts = [labelled_addresses(body, low), *streets, area_names(body, low), *stores]
-    return df.withColumn(out, distinct_ci(F.concat(*parts))).drop("_low", "_numbered")
+        found, stores = [_trimmed(numbered, 10)], []
+    parts = [labelled_addresses(body, low), *found, area_names(F.col("_areas"), low), *stores]
+    return df.withColumn(out, distinct_ci(F.concat(*parts))).drop("_low", "_streets", "_areas", "_numbered")
 
 
 # --- store name and location text ---------------------------------------------------

@@ -185,3 +185,23 @@ def cell_box(level, cell) -> tuple[Column, Column, Column, Column]:
 def zoom_cell_size(zoom) -> Column:
     """Side in degrees of a 50-pixel square at a web-map zoom."""
     return F.lit(50.0 * 360.0 / 256.0) / F.pow(F.lit(2.0), zoom)
+
+
+def _spread(v: Column) -> Column:
+    """Bits of a whole number below 2**32, each followed by a zero bit."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def curve_key(lat, lng, zoom: int) -> Column:
+    """Place of a point on the Z-curve over the squares of a web-map zoom. The square of a
+    smaller zoom is a range of keys: it shares all but the last two bits per zoom."""
+    size = zoom_cell_size(F.lit(float(zoom)))
+    gx, gy = (F.floor((v + F.lit(o)) / size).cast("bigint") for v, o in ((lng, 180.0), (lat, 90.0)))
+    return _spread(gx).bitwiseOR(F.shiftleft(_spread(gy), 1))
+
+
+def curve_prefix(key: Column, from_zoom: int, zoom: Column) -> Column:
+    """Key of the square of a smaller zoom that holds the key of ``from_zoom``."""
+    return F.call_function("shiftright", key, (F.lit(from_zoom) - zoom) * 2)

@@ -231,7 +231,7 @@ def viewport_keys(jobs: DataFrame, classes: DataFrame) -> DataFrame:
     cells = cut_lineage(pin(cells, inner=inside), "cells")
     hits = pyramid.met(cells, pyramid.counts(jobs, pyramid.used_of(cells), ["bucket"]))
     # dealt by class at once, as the window below needs it
-    keys = ["class", "cell", "bucket", "lim"]
+    keys = ["class", "cell", "bucket", "gram", "lim"]
     hits = hits.select(*keys, "inner", "n").repartition("class").groupBy(*keys).agg(F.sum(F.when(F.col("inner"), F.col("n")).otherwise(0)).alias("sure"))
     earlier = Window.partitionBy("class").orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
     return hits.withColumn("before", F.coalesce(F.sum("sure").over(earlier), F.lit(0))).where(F.col("before") < F.col("lim")).select(*keys)
@@ -239,27 +239,34 @@ def viewport_keys(jobs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def viewport_candidates(jobs: DataFrame, classes: DataFrame, columns: list[str]) -> DataFrame:
     """Postings of the cells and days that ``viewport_keys`` leaves, tested."""
-    asked = classes.select(*_by_class(["class", *BOX, *pyramid.TESTS, "lim"]))
+    asked = classes.select(*_by_class(["class", *BOX, *pyramid.CONDITIONS, "lim"]))
     keys = viewport_keys(jobs, classes).drop("lim").join(asked, "class")
     levels = viewport_cells(classes).select("level").distinct()
     placed = (
         jobs.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-        .select(*columns, "bucket", F.explode(geo.point_cells(F.col("lat"), F.col("lng"))).alias("at"))
-        .select(*columns, "bucket", "at.level", "at.cell")
+        .select(*columns, "bucket", "gram", F.explode(geo.point_cells(F.col("lat"), F.col("lng"))).alias("at"))
+        .select(*columns, "bucket", "gram", "at.level", "at.cell")
         .join(F.broadcast(levels), "level", "left_semi")  # at most len(LEVEL_SIZES) rows
         .drop("level")
     )
     inside = geo.in_box(F.col("lat"), F.col("lng"), *[F.col(f"q_{c}") for c in BOX])
-    return placed.join(keys, ["cell", "bucket"]).where(inside & pyramid.conditions_hold()).drop("cell", "bucket")
+    met = placed.join(keys, ["cell", "bucket", "gram"]).where(inside & pyramid.conditions_hold("title" in columns))
+    return met.drop("cell", "bucket", "gram")
 
 
 def viewport_batch(
     jobs: DataFrame, viewports: DataFrame, columns: list[str] = JOB_RESULT
 ) -> DataFrame:
-    """Newest ``lim`` postings of every box, ranked by ``rn``."""
+    """Newest ``lim`` postings of every box, ranked by ``rn``.
+
+    Besides ``category`` a request may have ``categories`` (any of these; none or empty: no
+    condition) and ``text`` (contained in the title, in any letter case).
+    """
     classes, members = pyramid.classes(accepted(check_viewports(viewports)), BOX)
-    slim = jobs.select(*_needed(columns, "posted_at")).withColumn("bucket", _day(F.col("posted_at"), pyramid.id_range(jobs)))
-    pairs = viewport_candidates(slim, classes, _needed(columns, "posted_at"))
+    needed = _needed(columns, "posted_at", *_titled(viewports))
+    slim = jobs.select(*needed).withColumn("bucket", _day(F.col("posted_at"), pyramid.id_range(jobs)))
+    slim, classes = pyramid.led_by_text(slim, classes)
+    pairs = viewport_candidates(slim, classes, needed)
     return _shown(pairs, members, [F.col("posted_at").desc_nulls_first(), F.col("id").asc()], columns)
 
 
@@ -305,25 +312,32 @@ def nearby_candidates(jobs: DataFrame, classes: DataFrame, columns: list[str]) -
     near = classes.join(reach, "class", "left")
     wide = center_cells(near.withColumn("whole_km", F.col("reach_km")).withColumn("reach_km", F.coalesce("reach_km", "radius_km")))
     wide = cut_lineage(wide.drop("dlat", "dlng", "reach_km").withColumnRenamed("whole_km", "reach_km"), "cells")
-    keys = ["class", "p_lat", "p_lng", "range", "distance_km", *pyramid.TESTS, "lim"]
+    keys = ["class", "p_lat", "p_lng", "range", "gram", "distance_km", *pyramid.CONDITIONS, "lim"]
     points = _at_points(ranged, wide, ["range"]).select(*keys, "n").repartition("class").groupBy(*keys).agg(F.sum("n").alias("n"))
     upto = Window.partitionBy("class").orderBy("distance_km", "range")
     peers = Window.partitionBy("class", "distance_km", "range")
     points = points.withColumn("before", F.sum("n").over(upto) - F.sum("n").over(peers)).where(F.col("before") < F.col("lim"))
-    keys = points.select(F.col("p_lat").alias("lat"), F.col("p_lng").alias("lng"), "range", "distance_km", *_by_class(["class", *pyramid.TESTS, "lim"]))
-    return ranged.select(*columns, "range").join(keys, ["lat", "lng", "range"]).where(pyramid.conditions_hold()).drop("range")
+    keys = points.select(F.col("p_lat").alias("lat"), F.col("p_lng").alias("lng"), "range", "gram", "distance_km", *_by_class(["class", *pyramid.CONDITIONS, "lim"]))
+    met = ranged.select(*columns, "range", "gram").join(keys, ["lat", "lng", "range", "gram"])
+    return met.where(pyramid.conditions_hold("title" in columns)).drop("range", "gram")
 
 
 def nearby_batch(
     jobs: DataFrame, centers: DataFrame, columns: list[str] = JOB_RESULT
 ) -> DataFrame:
-    """Nearest ``lim`` postings of every circle, ranked by ``rn``."""
+    """Nearest ``lim`` postings of every circle, ranked by ``rn``; conditions as for boxes."""
     classes, members = pyramid.classes(accepted(check_centers(centers)), CIRCLE)
-    slim = jobs.select(*_needed(columns))
-    pairs = nearby_candidates(slim, classes, slim.columns)
+    needed = _needed(columns, *_titled(centers))
+    slim, classes = pyramid.led_by_text(jobs.select(*needed), classes)
+    pairs = nearby_candidates(slim, classes, needed)
     return _shown(pairs, members, [F.col("distance_km").asc(), F.col("id").asc()], [*columns, "distance_km"])
 
 
+def _titled(requests: DataFrame) -> list[str]:
+    """Column of the postings that requests with a search text need."""
+    return ["title"] if "text" in requests.columns else []
+
+
 def _needed(columns: list[str], *more: str) -> list[str]:
     return list(dict.fromkeys(["id", *TESTED, *more, *columns]))
 
@@ -349,6 +363,7 @@ def viewport_meta(jobs: DataFrame, viewports: DataFrame) -> DataFrame:
     """Per request: rows returned (``count`` and ``total``, which are the same by
     definition) and, beyond that, all rows that match."""
     classes, members = pyramid.classes(accepted(check_viewports(viewports)), BOX)
+    jobs, classes = pyramid.led_by_text(jobs, classes)
     inside = pyramid.inside_box(F.col("level"), F.col("cell"), *[F.col(c) for c in BOX])
     cells = cut_lineage(pin(viewport_cells(classes), inner=inside), "cells")
     used = pyramid.used_of(cells)
@@ -361,6 +376,7 @@ def viewport_meta(jobs: DataFrame, viewports: DataFrame) -> DataFrame:
 def nearby_meta(jobs: DataFrame, centers: DataFrame) -> DataFrame:
     """Per request: counts as in ``viewport_meta``, echo of centre and radius."""
     classes, members = pyramid.classes(accepted(check_centers(centers)), CIRCLE)
+    jobs, classes = pyramid.led_by_text(jobs, classes)
     cells = _center_cells(classes)
     inner = pyramid.met(cells.where("inner"), pyramid.counts(jobs, pyramid.used_of(cells), []))
     border = _at_points(jobs, cells.where("not inner").withColumn("reach_km", F.lit(None).cast("double")), [])

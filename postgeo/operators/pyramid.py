@@ -5,7 +5,9 @@ by counts alone; only the others meet postings. Counts are kept per cell for eac
 tested columns (a request that tests no pay needs no rows per pay), so the rows a request
 adds up are bounded by the distinct values in its cells and do not grow with the postings.
 
-Requests of equal area and conditions form one class and are answered once.
+Requests of equal area and conditions form one class and are answered once. A search text
+is led by its rarest trigram: postings stand in an inverted index of the trigrams in use,
+so a class meets only titles that hold it, and counts by title are exact like the others.
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ from ..session import cut_lineage
 
 TESTS = ["wage_min", "wage_max", "category"]
 TESTED = ["lat", "lng", *TESTS]
+#: What a class asks of a posting besides its place.
+CONDITIONS = ["wage_min", "wage_max", "categories", "text"]
+TEXT_KIND = 8
+GRAM = 3
 #: Cells count as inside only if they are so by more than rounding.
 EDGE = 1e-9
 #: Share of the radius up to which a distance on the sphere leaves no doubt about that on
@@ -31,12 +37,22 @@ ID_RANGES = 1024
 
 
 def with_kind(requests: DataFrame) -> DataFrame:
-    """``category`` empty instead of null, and ``kind``: one bit per column that is tested."""
-    r = requests.withColumn("category", F.coalesce("category", F.lit("")))
+    """One list of ``categories`` ('' for any) from ``category`` and the optional ``categories``,
+    the lower-cased ``text`` ('' for none), and ``kind``: one bit per column that is tested."""
+    for name, kind in (("categories", "array<string>"), ("text", "string")):
+        if name not in requests.columns:
+            requests = requests.withColumn(name, F.lit(None).cast(kind))
+    one = F.coalesce("category", F.lit(""))
+    several = F.array_sort(F.array_distinct(F.filter(F.coalesce("categories", F.array().cast("array<string>")), lambda c: c.isNotNull())))
+    r = requests.withColumns({
+        "categories": F.when(F.size(several) == 0, F.array(one)).when(one == "", several).otherwise(F.filter(several, lambda c: c == one)),
+        "text": F.lower(F.coalesce("text", F.lit(""))),
+    }).drop("category")
     kind = (
         F.when(F.col("wage_min").isNotNull(), 1).otherwise(0)
         + F.when(F.col("wage_max").isNotNull(), 2).otherwise(0)
-        + F.when(F.col("category") != "", 4).otherwise(0)
+        + F.when(F.array_contains("categories", ""), 0).otherwise(4)
+        + F.when(F.col("text") != "", TEXT_KIND).otherwise(0)
     )
     return r.withColumn("kind", kind)
 
@@ -44,7 +60,7 @@ def with_kind(requests: DataFrame) -> DataFrame:
 def classes(asked: DataFrame, area: list[str]) -> tuple[DataFrame, DataFrame]:
     """(classes, members). Classes: ``class``, area, conditions, and the largest ``lim`` of
     their requests; members: q_id, lim and class of every request. Both written."""
-    keys = [*area, *TESTS, "kind"]
+    keys = [*area, *CONDITIONS, "kind"]
     asked = with_kind(asked)
     found = asked.groupBy(*keys).agg(F.max("lim").alias("lim")).withColumn("class", F.monotonically_increasing_id())
     found = cut_lineage(found, "classes")
@@ -56,6 +72,33 @@ def classes(asked: DataFrame, area: list[str]) -> tuple[DataFrame, DataFrame]:
     return found, cut_lineage(members, "members")
 
 
+def _grams(text: Column, size: int) -> Column:
+    """Distinct stretches of ``size`` code points."""
+    starts = F.sequence(F.lit(1), F.char_length(text) - (size - 1))
+    return F.when(F.char_length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def led_by_text(jobs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(jobs, classes) with ``gram``: of a class the rarest trigram of its text (a shorter text
+    itself), '' without text; postings stand once under '' and once under each trigram of
+    their title that leads a class."""
+    if classes.where("text <> ''").isEmpty():
+        return jobs.withColumn("gram", F.lit("")), classes.withColumn("gram", F.lit(""))
+    size = F.least(F.char_length("text"), F.lit(GRAM))
+    of_size = F.when(size == 1, _grams(F.col("text"), 1)).when(size == 2, _grams(F.col("text"), 2)).otherwise(_grams(F.col("text"), GRAM))
+    asked = classes.where("text <> ''").select("class", F.explode(of_size).alias("gram"))
+    sizes = [r[0] for r in asked.select(F.char_length("gram")).distinct().collect()]
+    title = F.lower("title")
+    indexed = jobs.where(F.col("title").isNotNull()).withColumn("gram", F.explode(F.concat(*[_grams(title, k) for k in sizes])))
+    held = indexed.join(asked.select("gram").distinct(), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    order = F.struct(F.coalesce("held", F.lit(0)), "gram")
+    leads = cut_lineage(asked.join(held, "gram", "left").groupBy("class").agg(F.min_by("gram", order).alias("gram")), "leads")
+    postings = jobs.withColumn("gram", F.lit("")).unionByName(indexed.join(leads.select("gram").distinct(), "gram", "left_semi").select(*jobs.columns, "gram"))
+    return postings, cut_lineage(classes.join(leads, "class", "left").withColumn("gram", F.coalesce("gram", F.lit(""))), "classes")
+
+
 def inside_box(level: Column, cell: Column, w, s, e, n) -> Column:
     """Whether the cell lies wholly in the box."""
     cw, cs, ce, cn = geo.cell_box(level, cell)
@@ -93,42 +136,52 @@ def id_range(jobs: DataFrame, id_col: str = "id") -> Column:
 
 
 def counts(jobs: DataFrame, used: DataFrame, extra: list[str]) -> DataFrame:
-    """(cell, kind, c_wage_min, c_wage_max, c_category, *extra, n): postings per cell and the
-    values of the columns that the kind tests; those that fail any such test are left out.
+    """(cell, kind, gram, c_wage_min, c_wage_max, c_category, c_title, *extra, n): postings per
+    cell and the values of the columns that the kind tests; those that fail any such test
+    are left out. ``jobs`` has ``gram`` (see ``led_by_text``).
 
-    ``used`` holds the (level, kind) in use, at most 64 rows, so broadcasting it is safe.
+    ``used`` holds the (level, kind) in use, at most 128 rows, so broadcasting it is safe.
     """
-    alike = jobs.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).groupBy(*dict.fromkeys([*TESTED, *extra])).agg(F.count(F.lit(1)).alias("n"))
+    keys = dict.fromkeys([*TESTED, *extra, "gram"])
+    title = F.when(F.col("gram") != "", F.lower("title")) if "title" in jobs.columns else F.lit(None).cast("string")
+    alike = (
+        jobs.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).withColumn("c_title", title)
+        .groupBy(*keys, "c_title").agg(F.count(F.lit(1)).alias("n"))
+    )
     placed = (
         alike.select("*", F.explode(geo.point_cells(F.col("lat"), F.col("lng"))).alias("at"))
         .select("*", "at.level", "at.cell").drop("at")
         .join(F.broadcast(used), "level")
+        .where((F.col("kind") >= TEXT_KIND) == (F.col("gram") != ""))
     )
     tested = [F.col("kind").bitwiseAND(F.lit(b)) != 0 for b in (1, 2, 4)]
     for t, c in zip(tested, TESTS):
         placed = placed.where(~t | F.col(c).isNotNull())
     values = [F.when(t, F.col(c)).alias(f"c_{c}") for t, c in zip(tested[:2], TESTS)]
     values.append(F.when(tested[2], F.col("category")).otherwise(F.lit("")).alias("c_category"))
-    keys = ["cell", "kind", "c_wage_min", "c_wage_max", "c_category", *extra]
-    return placed.select("cell", "kind", *values, *extra, "n").groupBy(*keys).agg(F.sum("n").alias("n"))
+    keys = ["cell", "kind", "gram", "c_wage_min", "c_wage_max", "c_category", "c_title", *extra]
+    return placed.select("cell", "kind", "gram", *values, "c_title", *extra, "n").groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def met(cells: DataFrame, counted: DataFrame) -> DataFrame:
-    """Cells of classes with the counts that meet their conditions."""
+    """Cells of classes with the counts that meet their conditions, per category asked for."""
     c = counted.withColumnRenamed("c_category", "category")
-    return cells.join(c, ["cell", "kind", "category"]).where(
+    asked = cells.select("*", F.explode("categories").alias("category"))
+    return asked.join(c, ["cell", "kind", "category", "gram"]).where(
         (F.col("wage_min").isNull() | (F.col("c_wage_min") >= F.col("wage_min")))
         & (F.col("wage_max").isNull() | (F.col("c_wage_max") <= F.col("wage_max")))
-    ).drop("c_wage_min", "c_wage_max")
+        & ((F.col("text") == "") | F.contains("c_title", "text"))
+    ).drop("c_wage_min", "c_wage_max", "c_title", "category")
 
 
-def conditions_hold() -> Column:
-    """Conditions of a class (columns ``q_...``) against a posting."""
-    return (
+def conditions_hold(titled: bool) -> Column:
+    """Conditions of a class (columns ``q_...``) against a posting; ``titled``: it has a title."""
+    out = (
         (F.col("q_wage_min").isNull() | (F.col("wage_min") >= F.col("q_wage_min")))
         & (F.col("q_wage_max").isNull() | (F.col("wage_max") <= F.col("q_wage_max")))
-        & ((F.col("q_category") == "") | (F.col("category") == F.col("q_category")))
+        & (F.array_contains("q_categories", "") | F.array_contains(F.col("q_categories"), F.col("category")))
     )
+    return out & ((F.col("q_text") == "") | F.contains(F.lower("title"), F.col("q_text"))) if titled else out
 
 
 def used_of(cells: DataFrame) -> DataFrame:

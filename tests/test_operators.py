@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from postgeo.functions import geo
+from postgeo.functions import geo, places
 from postgeo.operators import batch, cluster, geocode, ingest, quality, search
 from postgeo.sources.tables import write_snapshot
 
@@ -234,6 +234,28 @@ def test_place_search(spark):
     assert got == [(1, 1, "Main Square"), (1, 2, "12 Main Street"), (2, 1, "Main Square"), (2, 2, "12 Main Street"), (3, 1, "12 Main Street")]
 
 
+def test_place_search_of_terms_of_any_length_and_of_very_long_names(spark):
+    rng = random.Random(6)
+    words = ["main", "market", "mar", "square", "king", "kingsway", "st", "old", "north"]
+    names = [" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(300)] + [" ".join(f"w{i}" for i in range(5000))]
+    gaz = [(n, 1.0, 2.0, round(rng.random(), 3)) for n in names]
+    asked = []
+    for i in range(200):
+        name = rng.choice(names[:-1])
+        at = rng.choice([0, *(k + 1 for k, c in enumerate(name) if c == " ")])
+        asked.append((i, name[at : at + rng.randint(1, 70)]))
+    asked += [(900, "w17 w18"), (901, "w4999"), (902, "nothing at all of this kind, whatever its length is, and it is long")]
+    got = {}
+    df = geocode.place_search(spark.createDataFrame(asked, "q_id BIGINT, term STRING"), spark.createDataFrame(gaz, GAZ).repartition(3), 5)
+    for r in df.collect():
+        got.setdefault(r["q_id"], []).append((r["rank"], r["name"]))
+    spelled = {r["name"]: r["key"] for r in spark.createDataFrame(gaz, GAZ).select("name", places.norm_location(F.col("name")).alias("key")).collect()}
+    terms = {r["q_id"]: r["t"] for r in spark.createDataFrame(asked, "q_id BIGINT, term STRING").select("q_id", places.norm_prefix(F.col("term")).alias("t")).collect()}
+    for q, _ in asked:
+        hit = sorted({(-imp, n) for n, _, _, imp in gaz if (" " + spelled[n]).find(" " + terms[q]) >= 0})
+        assert [n for _, n in sorted(got.get(q, []))] == [n for _, n in hit[:5]], terms[q]
+
+
 def test_blocked_hosts_that_occur_and_odd_addresses(spark):
     rows = [(i, f"https://bad.example/p{i}") for i in range(300)] + [(400, "https://good.example/x"), (401, "https://[bad"), (402, None), (403, "https://good.example/y")]
     df = spark.createDataFrame(rows, "id LONG, source_url STRING")

@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from postgeo.functions import geo
-from postgeo.operators import batch, pyramid
+from postgeo.operators import batch, cluster, pyramid
 from postgeo.session import cut_lineage
 
 from .test_operators import CT, JOB, VP, great_circle, jobs, passes, viewports
@@ -96,8 +96,10 @@ def _work(spark, n, requests):
     v, _ = pyramid.classes(batch.accepted(batch.check_viewports(boxes)), batch.BOX)
     c, _ = pyramid.classes(batch.accepted(batch.check_centers(circles)), batch.CIRCLE)
     slim = df.select(*columns).withColumn("bucket", batch._day(F.col("posted_at"), pyramid.id_range(df)))
+    slim, v = pyramid.led_by_text(slim, v)
     counted = cut_lineage(batch.viewport_keys(slim, v)).count() + batch.viewport_candidates(slim, v, columns).count()
-    return counted, batch.nearby_candidates(df.select(*columns), c, columns).count()
+    near, c = pyramid.led_by_text(df.select(*columns), c)
+    return counted, batch.nearby_candidates(near, c, columns).count()
 
 
 def test_candidates_grow_less_than_the_pairs(spark):
@@ -113,3 +115,47 @@ def test_equal_requests_are_one_class(spark):
     found, members = pyramid.classes(batch.accepted(batch.check_viewports(spark.createDataFrame(rows, VP))), batch.BOX)
     assert found.count() == 2 and members.count() == 4
     assert {(r["q_id"], r["lim"]) for r in members.collect()} == {(0, 5), (1, 40), (2, 5), (3, 100)}
+
+
+def test_children_of_requested_clusters_equal_brute_force(spark):
+    import math
+
+    rows, df = jobs(spark, 600, hot=200)
+    vps = [(q, w, s, e, n, zoom, *rest) for (q, w, s, e, n, _, *rest), zoom in zip(viewports(120), [0, 5, 9, 11, 12, 14, 17, 20] * 15)]
+
+    def cluster_of(j, z):
+        size = 70.3125 / 2**z
+        return f"{z}/{math.floor((j[6] + 180) / size)}/{math.floor((j[5] + 90) / size)}"
+
+    want, asked = set(), []
+    for k, (q, w, s, e, n, z, wmin, wmax, cat, lim) in enumerate(vps):
+        hit = [j for j in rows if w <= j[6] <= e and s <= j[5] <= n and passes(j, wmin, wmax, cat)]
+        # one of its clusters, one cut by the edge of the box, or none that exists
+        cid = cluster_of(hit[k % len(hit)], z) if hit and k % 5 else f"{z}/1/2" if k % 2 else None
+        asked.append((q, w, s, e, n, z, wmin, wmax, cat, lim, cid))
+        want |= {(q, cid, j[0]) for j in hit if cluster_of(j, z) == cid}
+    got = cluster.children_of(df, spark.createDataFrame(asked, VP + ", cluster_id STRING"))
+    got = [(r["q_id"], r["cluster_id"], r["child_id"]) for r in got.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+
+
+def test_category_sets_and_texts_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows, df = jobs(spark, 500, hot=150)
+    titles = {j[0]: rng.choice([None, "", "Cook wanted", "URGENT cook", "Driver, urgent", "x", "Ünïcode cook", "co"]) for j in rows}
+    rows = [j[:2] + (titles[j[0]],) + j[3:] for j in rows]
+    df = spark.createDataFrame(rows, JOB).repartition(3)
+    sets = [None, [], ["retail"], ["other", "retail", None], ["nothing"]]
+    texts = [None, "", "urgent", "COOK", "o", "co", "ünï", "no such words", "x"]
+    vps = [v + (rng.choice(sets), rng.choice(texts)) for v in viewports(150)]
+    asked = spark.createDataFrame(vps, VP + ", categories ARRAY<STRING>, text STRING")
+    got = {}
+    for r in batch.viewport_batch(df, asked, ["id"]).collect():
+        got.setdefault(r["q_id"], []).append((r["rn"], r["id"]))
+    metas = {r["q_id"]: r["matching"] for r in batch.viewport_meta(df, asked).collect()}
+    for q, w, s, e, n, _, wmin, wmax, cat, lim, several, text in vps:
+        several = [c for c in several or [] if c]
+        hit = [j for j in rows if w <= j[6] <= e and s <= j[5] <= n and passes(j, wmin, wmax, cat) and (not several or j[9] in several) and (not text or text.lower() in (j[2] or "").lower())]
+        hit.sort(key=lambda j: (j[11] is not None, -(j[11].timestamp() if j[11] else 0), j[0]))
+        assert sorted(got.get(q, [])) == [(k + 1, j[0]) for k, j in enumerate(hit[: lim or 100])], (q, several, text)
+        assert metas[q] == len(hit)

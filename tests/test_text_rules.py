@@ -194,3 +194,22 @@ def test_facts_drop_the_body(spark):
     assert "body" not in got.columns
     r = got.first()
     assert (r["wage_min"], r["category"], r["region_hint"], r["location_text"]) == (20, "restaurant", "Banff", "Banff, BC")
+
+
+def test_addresses_of_anchored_pieces_equal_those_of_whole_texts(spark, monkeypatch):
+    """The same rules over whole texts and over their anchored pieces."""
+    rng = random.Random(17)
+    words = [
+        "12 Main Street", "Main St", "st", "1884 Dayton st", "Kelowna", "BC", "V5C 2K4", "best", "first", "ſtreet", "Rd", "ROAD", "Ave", "avenue", "Lane", "way", "Blvd",
+        "Joy Cafe", "Ramen", "Market", "Yaletown", "Vancouver", "Surrey", "Langley", "エリア", "area", "・", "/", "&", ",", ".", "\n", "\t", "　", " ", "é", "İ", "ı", "K", "\u0001",
+        "-", "：", "勤務地：", "Address:", "Address", "Work Location", "mail@x.org", "http://x", "77", "７", "town", "Parkland", "日本語", "$18", "a", "The",
+    ]
+    rows = [(i, "".join(rng.choice(words) + rng.choice([" ", " ", " ", "", ", "]) for _ in range(rng.choice([3, 12, 60])))) for i in range(600)] + [(900, ""), (901, None)]
+    df = spark.createDataFrame(rows, "i INT, t STRING").repartition(4)
+    for mode in ("reference", "strict"):
+        got = {r["i"]: r["a"] for r in extract.with_addresses(df, "t", "a", mode).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(extract, "pieces", lambda t: F.array(t))
+            m.setattr(extract, "anchored", lambda texts, low, anchors: F.get(texts, F.lit(0)))
+            want = {r["i"]: r["a"] for r in extract.with_addresses(df, "t", "a", mode).collect()}
+        assert got == want and sum(bool(a) for a in want.values()) > 100

@@ -97,6 +97,7 @@ O["nearby"] = f"""
 SELECT {COLS}, round(distance_km, 6) AS distance_km FROM (
   SELECT *, {sphere(*_a)} AS distance_km FROM (SELECT *, {central(*_a)} AS sg FROM jobs_fx WHERE category = 'retail')
   WHERE {ellipsoid(*_a)} <= {CENTER[2] * 1000} ORDER BY distance_km, id LIMIT 200)"""
+O["viewport_copy"], O["nearby_copy"] = O["viewport"], O["nearby"]
 _flt = "SELECT id, title, wage_min, wage_max, category FROM jobs_fx WHERE "
 O["filter_wage_min"] = _flt + "wage_min >= 20"
 O["filter_wage_max"] = _flt + "wage_max <= 20"

@@ -9,7 +9,7 @@ from postgeo.functions.text import strip_html
 from postgeo.operators import batch, cluster, crawl, dedup, geocode, ingest, quality, regions, search, segment
 from postgeo.plans import flow
 from postgeo.sources.schemas import UPSERT_FIELDS
-from postgeo.sources import snapshots
+from postgeo.sources import mapcopy, snapshots
 from postgeo.sources.tables import split_fetched
 
 from postgeo.session import cut_lineage, scratch_path
@@ -75,6 +75,21 @@ def q_nearby(s, d):
     return tidy(search.nearby(jobs(s, d), *CENTER, search.Filters(category="retail"), limit=200))
 
 
+def _map_copy(s, d):
+    root = scratch_path(s, "map")
+    mapcopy.publish(jobs(s, d), root, 2000)
+    return root
+
+
+def q_viewport_copy(s, d):
+    """The request of ``viewport``, from the files of a map-ordered copy that it touches."""
+    return tidy(mapcopy.viewport(s, _map_copy(s, d), BOX, search.Filters(wage_min=16, wage_max=30), 100))
+
+
+def q_nearby_copy(s, d):
+    return tidy(mapcopy.nearby(s, _map_copy(s, d), CENTER, search.Filters(category="retail"), 200))
+
+
 def _filtered(s, d, f):
     return tidy(f.apply(jobs(s, d)).select("id", "title", "wage_min", "wage_max", "category"))
 

@@ -2,13 +2,16 @@
 
 Distinct pieces are bucketed by length into matrices of ids; each round every row merges
 its leftmost pair of least rank, found by a hashed pair table, and the matrix closes up.
-Pieces longer than LONG merge all places of their least pair in a round, unless a token
-made so would have to go on first; the ids are the same.
+A row of many columns would move all of them in every round. So longer pieces share one
+row whose places wait in queues by rank, and a round merges all places of the least rank
+that come before any other pair's turn: the same merges in the same order, in time that grows
+with the length (times its logarithm) and not with its square.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +20,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+#: Bytes of a piece from which on rows are kept as linked lists; the ids do not depend on it.
 LONG = 192
 #: Encoded word pieces kept per Python worker; older ones go when it is full.
 CACHED = 250_000
@@ -60,33 +64,68 @@ class Ranks:
 
     # --- merging ---------------------------------------------------------------------
 
-    def _long(self, piece: bytes) -> np.ndarray:
-        ids = self.byte[np.frombuffer(piece, np.uint8)]
-        rank = self.pairs.find(ids[:-1], ids[1:])
-        while len(ids) > 1:
-            least = rank.min()
-            if least == NONE:
-                break
-            at = np.flatnonzero(rank == least)
+    def _long(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of long pieces, laid out as one row with gaps that no pair crosses.
+
+        Places wait in queues by the rank of their pair and the row is a linked list, so a
+        round touches only the places it merges. It merges all places of the least rank from
+        the left, up to the first after which a pair of lower rank has its turn.
+        """
+        gap = np.int32(-1)
+        ids = np.concatenate([np.append(self.byte[np.frombuffer(p, np.uint8)], gap) for p in [b"", *pieces]])
+        size = len(ids)
+        after, before = np.append(np.arange(1, size), 0), np.append(size - 1, np.arange(size - 1))
+        alive = np.ones(size, bool)
+
+        def ranked(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            return np.where((left == gap) | (right == gap), NONE, self.pairs.find(left, right))
+
+        rank = ranked(ids, ids[after])
+        queues: dict[int, list[np.ndarray]] = {}
+        least_first: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[rank[at] != NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            turns = np.flatnonzero(np.diff(rank[at])) + 1
+            for own in np.split(at, turns) if len(at) else ():
+                r = int(rank[own[0]])
+                if r not in queues:
+                    queues[r] = []
+                    heapq.heappush(least_first, r)
+                queues[r].append(own)
+
+        wait(np.arange(size))
+        while least_first:
+            least = heapq.heappop(least_first)
+            at = np.unique(np.concatenate(queues.pop(least)))
+            at = at[alive[at] & (rank[at] == least)]
+            if not len(at):
+                continue
             # of places that touch, every second one counted from the left
-            starts = np.concatenate([[True], np.diff(at) > 1])
+            starts = np.concatenate([[True], after[at[:-1]] != at[1:]])
             first = np.flatnonzero(starts)[np.cumsum(starts) - 1]
-            at = at[(np.arange(len(at)) - first) % 2 == 0]
-            after, rank_after = self._merged(ids, at, least)
-            between = self.pairs.find(np.array([least]), ids[at[:1]])[0]
-            if min(rank_after.min(initial=NONE), between) < least:
-                # a merged token would go on before the next place has its turn
-                after, rank_after = self._merged(ids, at[:1], least)
-            ids, rank = after, rank_after
-        return ids
-
-    def _merged(self, ids: np.ndarray, at: np.ndarray, made: int) -> tuple[np.ndarray, np.ndarray]:
-        ids = ids.copy()
-        ids[at] = made
-        keep = np.ones(len(ids), bool)
-        keep[at + 1] = False
-        ids = ids[keep]
-        return ids, self.pairs.find(ids[:-1], ids[1:])
+            mine = at[(np.arange(len(at)) - first) % 2 == 0]
+            gone = after[mine]
+            right, left = after[gone], before[mine]
+            # the row as it is when the place has its turn: those to its left are merged
+            joined = np.concatenate([[False], right[:-1] == mine[1:]])
+            lower = (ranked(np.where(joined, least, ids[left]), np.full(len(mine), least, np.int32)) < least) | (
+                ranked(np.full(len(mine), least, np.int32), ids[right]) < least
+            )
+            if lower.any():
+                upto = int(lower.argmax()) + 1
+                late = at[at > mine[upto - 1]]
+                mine, gone, right = mine[:upto], gone[:upto], right[:upto]
+            else:
+                late = at[:0]
+            ids[mine], alive[gone] = least, False
+            after[mine], before[right] = right, mine
+            near = np.unique(np.concatenate([before[mine], mine]))
+            rank[near] = ranked(ids[near], ids[after[near]])
+            wait(np.unique(np.concatenate([near, late[alive[late] & (rank[late] == least)]])))
+        ends = np.flatnonzero(ids == gap)
+        return [ids[a + 1 : b][alive[a + 1 : b]].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
 
     def _matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Ids of pieces that all have ``width`` bytes."""
@@ -117,6 +156,7 @@ class Ranks:
         """Ids of each piece as bytes (little-endian unsigned 32-bit). All rows of a matrix
         lose one column a round, so equal lengths share a matrix and no padding is left."""
         out: dict[str, bytes] = {}
+        long: dict[str, bytes] = {}
         by_length: dict[int, tuple[list[str], list[bytes]]] = {}
         for text in pieces:
             p = text.encode()
@@ -124,13 +164,15 @@ class Ranks:
             if whole is not None:
                 out[text] = whole.to_bytes(4, "little")
             elif len(p) > LONG:
-                out[text] = self._long(p).astype("<u4").tobytes()
+                long[text] = p
             else:
                 names, rows = by_length.setdefault(len(p), ([], []))
                 names.append(text)
                 rows.append(p)
         for width, (names, rows) in by_length.items():
             out.update(zip(names, self._matrix(rows, width)))
+        if long:
+            out.update(zip(long, self._long(list(long.values()))))
         return out
 
     # --- texts -----------------------------------------------------------------------
@@ -254,7 +296,8 @@ def encode(
     Each match of ``pattern`` is encoded alone; special tokens have no meaning. A null text
     counts as empty, an empty one has no ids. All other columns stay as they are; one named
     ``out`` is replaced. With ``decoded``, a column of that name gets what the ids decode to.
-    An empty table stays empty; repeated rows repeat. ``path`` is read on the workers.
+    An empty table stays empty; repeated rows repeat. A text may be one unbroken run of any
+    length. ``path`` is read on the workers.
     """
     outs = [out] if decoded is None else [out, decoded]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -196,6 +197,23 @@ def test_bpe_on_random_bytes_and_runs(reference_encoder):
 # --- packing ------------------------------------------------------------------------------
 
 
+def test_long_pieces_share_a_row_and_take_the_librarys_ids(reference_encoder):
+    rng = random.Random(11)
+    table = bpe.Ranks.load(RANKS, PATTERN)
+    alphabets = ["ab", "a", "aeinrst", "abcdefghijklmnopqrstuvwxyz", "éàüabß", "-=_", "\n \t"]
+    pieces = ["".join(rng.choice(a) for _ in range(rng.randint(1, 700))) for a in alphabets for _ in range(40)]
+    known = [t.decode() for t in table.rank if t.isalpha() and t.isascii()]
+    pieces += ["".join(rng.choice(known) for _ in range(rng.randint(1, 150))) for _ in range(60)]
+    for p, ids in zip(pieces, table._long([p.encode() for p in pieces])):
+        assert np.frombuffer(ids, "<u4").tolist() == reference_encoder._encode_single_piece(p.encode())
+    run = "".join(rng.choice(alphabets[3]) for _ in range(1_000_000))
+    begin = time.process_time()
+    ids = table.encode([run, run[:200_000]])
+    assert time.process_time() - begin < 60  # the square of the length would take hours
+    assert table.decode(ids[0]) == run.encode()
+    assert np.frombuffer(ids[1], "<u4").tolist() == reference_encoder._encode_single_piece(run[:200_000].encode())
+
+
 def test_packing_places_every_token_once(documents):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     marks = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|>x", "x<|endoftext|><|endoftext|>", "<|endoftext|>" + " " * 2500 + "<|endoftext|> y", "<|ENDOFTEXT|> <|endoftext"]

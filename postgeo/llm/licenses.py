@@ -10,7 +10,9 @@ its paragraph (consecutive lines with words) as a span of about a template's len
 from __future__ import annotations
 
 import dataclasses
+import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,6 +118,48 @@ def _pair_hashes(pairs: list[str]) -> np.ndarray:
     return words.mix(words.mix(h[0::2]) + h[1::2])
 
 
+def _best_spans(hits: list[tuple[int, str]], reach: float, enough: float) -> list[tuple[int, int, int]]:
+    """(different pairs, first hit, last hit) of spans of ``hits`` (word number, pair), at most
+    ``reach`` words apart: the one with most pairs (ties: fewest words, then the later one),
+    then the best of what is left beside it, while they have ``enough`` pairs.
+
+    One pass keeps the span that ends at each hit; a pick shortens only the spans that end
+    within reach behind it, and only these are made anew.
+    """
+    begin, heap, picked, taken = [-1] * len(hits), [], [], bytearray(len(hits))
+
+    def extend(low: int) -> None:
+        count: dict[str, int] = {}
+        a = low
+        for b in range(low, len(hits)):
+            if taken[b]:
+                return
+            count[hits[b][1]] = count.get(hits[b][1], 0) + 1
+            # repeated pairs at the front and words beyond the length are let go
+            while hits[b][0] - hits[a][0] > reach or count[hits[a][1]] > 1:
+                count[hits[a][1]] -= 1
+                if not count[hits[a][1]]:
+                    del count[hits[a][1]]
+                a += 1
+            if begin[b] == a:
+                return  # from here on the spans are as before
+            begin[b] = a
+            if len(count) >= enough:
+                heapq.heappush(heap, (-len(count), hits[b][0] - hits[a][0], -a, -b))
+
+    if hits:
+        extend(0)
+    while heap:
+        n, _, a, b = heapq.heappop(heap)
+        a, b = -a, -b
+        if taken[b] or begin[b] != a:
+            continue
+        picked.append((-n, a, b))
+        taken[a : b + 1] = b"\1" * (b + 1 - a)
+        extend(b + 1)
+    return picked
+
+
 @dataclasses.dataclass
 class Scanner:
     families: list[str]
@@ -145,7 +189,8 @@ class Scanner:
         """(first line, last line, find) of notices that go over lines of one paragraph.
 
         For each template the span of about its length that has most of its word pairs,
-        again and again in what is left beside it.
+        again and again in what is left beside it, in time in proportion to the paragraph
+        (times the logarithm of the number of finds).
         """
         ws, at = [], []
         for k, line in enumerate(lines):
@@ -158,24 +203,7 @@ class Scanner:
         found = []
         for family, pairs in self.templates:
             hits = sorted((i, p) for p in pairs for i in where.get(p, ()))
-            ranges = [(0, len(hits))]
-            while ranges:
-                low, high = ranges.pop()
-                best, count, a = (0, 0, 0, 0), dict.fromkeys(pairs, 0), low
-                n = 0
-                for b in range(low, high):
-                    n += count[hits[b][1]] == 0
-                    count[hits[b][1]] += 1
-                    # repeated pairs at the front and words beyond the length are let go
-                    while hits[b][0] - hits[a][0] > 1.25 * len(pairs) + 2 or count[hits[a][1]] > 1:
-                        count[hits[a][1]] -= 1
-                        n -= count[hits[a][1]] == 0
-                        a += 1
-                    best = max(best, (n, hits[a][0] - hits[b][0], a, b))
-                n, _, a, b = best
-                if n < CONFIRMED * len(pairs):
-                    continue
-                ranges += [(low, a), (b + 1, high)]
+            for n, a, b in _best_spans(hits, 1.25 * len(pairs) + 2, CONFIRMED * len(pairs)):
                 first, last = hits[a][0], hits[b][0] + 1
                 if at[first] == at[last]:
                     continue
@@ -255,9 +283,14 @@ def _apart(finds: list[tuple[int, int, tuple]]) -> list[tuple[int, int, tuple]]:
     """Finds (first line, last line, find) that share no line with a better one of their
     paragraph; the share of the template decides, then fewer lines."""
     taken: list[tuple[int, int, tuple]] = []
+    lines: dict[str | None, set[int]] = defaultdict(set)  # taken ones by family; None: by wrapped notices
     for f in sorted(finds, key=lambda f: (-f[2][2], f[1] - f[0], f[0], f[2][0])):
-        if not any(f[0] <= t[1] and t[0] <= f[1] and (f[2][0] == t[2][0] or t[0] < t[1]) for t in taken):
+        own = range(f[0], f[1] + 1)
+        if lines[f[2][0]].isdisjoint(own) and lines[None].isdisjoint(own):
             taken.append(f)
+            lines[f[2][0]].update(own)
+            if f[0] < f[1]:
+                lines[None].update(own)
     return sorted(taken, key=lambda f: f[:2])
 
 

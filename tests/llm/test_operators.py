@@ -509,6 +509,40 @@ def test_license_classifier_on_held_out_wordings():
         assert scanner.find(vague) is None
 
 
+def plain_spans(hits, reach, enough):
+    """The best window of distinct pairs, then those of both sides, all found again each time."""
+    out, ranges = [], [(0, len(hits))]
+    while ranges:
+        low, high = ranges.pop()
+        best, a = (0,), low
+        for b in range(low, high):
+            while hits[b][0] - hits[a][0] > reach or any(hits[a][1] == p for _, p in hits[a + 1 : b + 1]):
+                a += 1
+            best = max(best, (len({p for _, p in hits[a : b + 1]}), hits[a][0] - hits[b][0], a, b))
+        if best[0] and best[0] >= enough:
+            n, _, a, b = best
+            out.append((n, a, b))
+            ranges += [(low, a), (b + 1, high)]
+    return sorted(out)
+
+
+def test_best_spans_equal_the_plain_search():
+    rng = random.Random(5)
+    for _ in range(400):
+        at = sorted(rng.sample(range(90), rng.randint(0, 60)))
+        hits = [(i, "p" + str(rng.randrange(8))) for i in at]
+        reach, enough = rng.choice([5, 9, 14]), rng.choice([2, 4, 6])
+        assert sorted(licenses._best_spans(hits, reach, enough)) == plain_spans(hits, reach, enough)
+
+
+def test_paragraph_of_ten_thousand_notices(spark):
+    notice = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files\n"
+    begin = time.time()
+    got = licenses.scan(spark.createDataFrame([(1, notice * 10_000)], "doc_id long, text string")).collect()[0]
+    assert len(got.spans) == 10_000 and got.families == ["MIT"] and got.n_paragraphs == 30_000
+    assert time.time() - begin < 90  # the square of the notices would take half an hour
+
+
 # --- images -------------------------------------------------------------------------------
 
 

@@ -312,6 +312,9 @@ _mview = f"""SELECT source_url, msgid, title, CAST(wage_min AS INT) AS wage_min,
 O["upsert"] = f"WITH {_judged} {_last} {merged('merged', 'last')} {_mview}"
 _alert = boxed("v.q_id, j.source_url, round(j.lat,6) AS lat, round(j.lng,6) AS lng", source="(SELECT * FROM merged WHERE created)")
 O["area_alerts"] = f"WITH {_judged} {_last} {merged('merged', 'last')} {_alert}"
+O["area_alert_counts"] = f"""WITH {_judged} {_last} {merged('merged', 'last')} SELECT v.q_id, coalesce(n, 0) AS n_new,
+  min(v.q_id) OVER (PARTITION BY min_lng, min_lat, max_lng, max_lat, wage_min, wage_max, coalesce(category, '')) AS lead_id
+  FROM viewports_fx v LEFT JOIN (SELECT q_id, count(*) AS n FROM ({_alert}) GROUP BY q_id) m ON m.q_id = v.q_id WHERE {_bbox_ok}"""
 O["crawl_log"] = """
 SELECT coalesce(k.bbs, d.bbs) AS bbs, coalesce(greatest(known, done), known, done, 0) AS last_seen_msgid FROM
  (SELECT bbs, max(last_seen_msgid) AS known FROM crawl_log_fx GROUP BY bbs) k FULL OUTER JOIN

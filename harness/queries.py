@@ -212,11 +212,18 @@ def q_viewport_page(s, d):
     return batch.viewport_page(jobs(s, d), view(s, d, "viewports_fx"), 20).select("q_id", "page", "rn", "id")
 
 
-def q_area_alerts(s, d):
-    stored = jobs(s, d)
+def _created(s, d):
     ok = ingest.storable(ingest.judge(view(s, d, "incoming_fx"), view(s, d, "gazetteer_fx")))
-    new = ingest.upsert(stored, ok).where("created")
-    return tidy(batch.area_alerts(new, view(s, d, "viewports_fx")))
+    return ingest.upsert(jobs(s, d), ok).where("created")
+
+
+def q_area_alerts(s, d):
+    return tidy(batch.area_alerts(_created(s, d), view(s, d, "viewports_fx")))
+
+
+def q_area_alert_counts(s, d):
+    """Counts of new postings and classes of equal areas."""
+    return batch.area_alert_counts(_created(s, d), view(s, d, "viewports_fx"))
 
 
 def q_clusters_grid(s, d):

@@ -359,9 +359,7 @@ def _counted(classes: DataFrame, members: DataFrame, parts: list[DataFrame]) ->
     )
 
 
-def viewport_meta(jobs: DataFrame, viewports: DataFrame) -> DataFrame:
-    """Per request: rows returned (``count`` and ``total``, which are the same by
-    definition) and, beyond that, all rows that match."""
+def _box_counts(jobs: DataFrame, viewports: DataFrame) -> DataFrame:
     classes, members = pyramid.classes(accepted(check_viewports(viewports)), BOX)
     jobs, classes = pyramid.led_by_text(jobs, classes)
     inside = pyramid.inside_box(F.col("level"), F.col("cell"), *[F.col(c) for c in BOX])
@@ -370,7 +368,13 @@ def viewport_meta(jobs: DataFrame, viewports: DataFrame) -> DataFrame:
     inner = pyramid.met(cells.where("inner"), pyramid.counts(jobs, used, []))
     border = pyramid.met(cells.where("not inner"), pyramid.counts(jobs, used, ["lat", "lng"]))
     border = border.where(geo.in_box(F.col("lat"), F.col("lng"), *[F.col(c) for c in BOX]))
-    return _counted(classes, members, [inner, border]).drop("class")
+    return _counted(classes, members, [inner, border])
+
+
+def viewport_meta(jobs: DataFrame, viewports: DataFrame) -> DataFrame:
+    """Per request: rows returned (``count`` and ``total``, which are the same by
+    definition) and, beyond that, all rows that match."""
+    return _box_counts(jobs, viewports).drop("class")
 
 
 def nearby_meta(jobs: DataFrame, centers: DataFrame) -> DataFrame:
@@ -386,8 +390,21 @@ def nearby_meta(jobs: DataFrame, centers: DataFrame) -> DataFrame:
 
 
 def area_alerts(new_jobs: DataFrame, areas: DataFrame) -> DataFrame:
-    """Every (saved area, new posting) pair; ``new_jobs`` holds only created rows."""
-    pairs = match_viewports(
-        new_jobs, accepted(check_viewports(areas)), ["source_url", *TESTED]
-    )
-    return pairs.select("q_id", "source_url", "lat", "lng")
+    """Every (saved area, new posting) pair; ``new_jobs`` holds only created rows. Areas of equal
+    box and conditions meet the postings once and are told apart only in the result."""
+    classes, members = pyramid.classes(accepted(check_viewports(areas)), BOX)
+    columns = ["source_url", *TESTED, *_titled(areas)]
+    slim, classes = pyramid.led_by_text(new_jobs.select(*columns), classes)
+    pairs = cell_join(slim, viewport_cells(classes), [*columns, "gram"])
+    inside = geo.in_box(F.col("lat"), F.col("lng"), *[F.col(f"q_{c}") for c in BOX])
+    met = pairs.where(inside & (F.col("gram") == F.col("q_gram")) & pyramid.conditions_hold("title" in columns))
+    return met.withColumnRenamed("q_class", "class").join(members, "class").select("q_id", "source_url", "lat", "lng")
+
+
+def area_alert_counts(new_jobs: DataFrame, areas: DataFrame) -> DataFrame:
+    """(q_id, lead_id, n_new) per saved area: how many new postings it has, from counts per cell,
+    and the smallest id among areas of equal box and conditions, whose postings are the same. As
+    many rows as areas, whatever the postings; ``area_alerts`` of leading areas has the details."""
+    counted = _box_counts(new_jobs, areas)
+    leads = counted.groupBy("class").agg(F.min("q_id").alias("lead_id"))
+    return counted.join(leads, "class").select("q_id", "lead_id", F.col("matching").alias("n_new"))

@@ -47,6 +47,21 @@ def test_meta_equals_brute_force(spark):
         assert got[q] == sum(w <= j[6] <= e and s <= j[5] <= n and passes(j, wmin, wmax, cat) for j in rows)
 
 
+def test_alerts_of_equal_areas(spark):
+    """Counts and pairs of saved areas against brute force; areas asked twice share a lead."""
+    rows, df = jobs(spark, 500, hot=200)
+    vps = viewports(60)
+    vps += [(v[0] + 1000, *v[1:]) for v in vps[:40]]
+    asked = spark.createDataFrame(vps, VP)
+    want = {v[0]: {j[7] for j in rows if v[1] <= j[6] <= v[3] and v[2] <= j[5] <= v[4] and passes(j, *v[6:9])} for v in vps}
+    counts = {r.q_id: r for r in batch.area_alert_counts(df, asked).collect()}
+    assert {q: r.n_new for q, r in counts.items()} == {q: len(w) for q, w in want.items()}
+    assert all(counts[v[0]].lead_id == counts[v[0] - 1000].lead_id <= v[0] - 1000 for v in vps[60:])
+    pairs = batch.area_alerts(df, asked).select("q_id", "source_url").collect()
+    assert len(pairs) == sum(map(len, want.values())) and all(r.source_url in want[r.q_id] for r in pairs)
+    assert batch.area_alert_counts(df.limit(0), asked).agg(F.sum("n_new")).collect()[0][0] == 0
+
+
 def test_boxes_along_cell_borders(spark):
     """Points and boxes exactly on the borders of cells, where rounding could decide."""
     rows = [(i * 40 + k, 1, "t", None, None, 49.0 + i * 0.01, -123.0 + k * 0.01, f"u{i}/{k}", 0.5, "retail", None, None) for i in range(40) for k in range(40)]

@@ -36,3 +36,13 @@ def test_rows_of_a_frequent_query_are_spread(spark):
         found = {r["location_text"]: (r["lat"], r["confidence"], r["n"]) for r in got.groupBy("location_text", "lat", "confidence").agg(F.count("*").alias("n")).collect()}
     assert sum(per_task) == 4000 and max(per_task) < 1200
     assert {k: (v[0], v[2]) for k, v in found.items()} == {"12 Main St": (49.1, 2661), "7 Oak St": (49.3, 8), "Nowhere": (None, 1331)}
+
+
+def test_places_of_a_common_word_are_spread(spark):
+    gaz = spark.range(600).select(F.concat(F.lit("main "), "id").alias("name"), F.lit(49.0).alias("lat"), F.lit(-123.0).alias("lng"), (F.col("id") / 600).alias("importance"))
+    terms = spark.createDataFrame([(1, "Main"), (2, "main 59"), (3, "x")], "q_id LONG, term STRING")
+    found = geocode.place_search(terms, gaz, 3)
+    assert [r["name"] for r in found.where("q_id = 1").orderBy("rank").collect()] == ["main 599", "main 598", "main 597"]
+    assert [r["name"] for r in found.where("q_id = 2").orderBy("rank").collect()] == ["main 599", "main 598", "main 597"]
+    joins = [l for l in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in l and "node#" in l]
+    assert joins and all("part#" in l for l in joins)

@@ -174,3 +174,66 @@ def test_category_sets_and_texts_equal_brute_force(spark):
         hit.sort(key=lambda j: (j[11] is not None, -(j[11].timestamp() if j[11] else 0), j[0]))
         assert sorted(got.get(q, [])) == [(k + 1, j[0]) for k, j in enumerate(hit[: lim or 100])], (q, several, text)
         assert metas[q] == len(hit)
+
+
+def _dense(spark, n=4000):
+    """Distinct points in some 2 km, of many days."""
+    rng = random.Random(5)
+    rows = [(i, 1, rng.choice(["Cook wanted", "Urgent driver", None]), 15, 30, 49.2 + rng.random() * 0.02, -123.2 + rng.random() * 0.03, f"u{i}", 0.5, "retail", None,
+             dt.datetime(2024, 1, 1) - dt.timedelta(hours=i)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, JOB).repartition(4)
+
+
+def test_few_points_of_a_dense_circle_are_tested(spark):
+    """Crowded border cells are cut finer: pieces do not overlap, miss no point of the circle, and few points lie on the border."""
+    rows, df = _dense(spark, 12000)
+    lat, lng = 49.21, -123.185
+    classes, _ = pyramid.classes(batch.accepted(batch.check_centers(spark.createDataFrame([(1, lat, lng, 1.0, None, None, None, 5)], CT))), batch.CIRCLE)
+    slim, classes = pyramid.led_by_text(df, classes)
+    pieces = pyramid.circle_pieces(batch.center_cells(classes).drop("dlat", "dlng"), pyramid.crowded(slim))
+    at = df.select("id", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), F.inline(geo.point_cells(F.col("lat"), F.col("lng"))))
+    met = at.join(pieces, ["level", "cell"]).select("id", "inner").collect()
+    inside = {r[0] for r in rows if great_circle(lat, lng, r[5], r[6]) <= 990}
+    assert len({r.id for r in met}) == len(met) and inside <= {r.id for r in met}
+    assert sum(not r.inner for r in met) < len(inside) / 2 < sum(r.inner for r in met)
+
+
+def test_nearest_of_a_dense_place_come_from_few_points(spark, monkeypatch):
+    rows, df = _dense(spark)
+    seen, plain = [], batch._at_points
+
+    def counted(*args):
+        found = cut_lineage(plain(*args))
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(batch, "_at_points", counted)
+    got = batch.nearby_batch(df, spark.createDataFrame([(1, 49.21, -123.185, 1.0, None, None, None, 5)], CT), ["id"]).orderBy("rn").collect()
+    assert [r["id"] for r in got] == [i for _, i in sorted((great_circle(49.21, -123.185, r[5], r[6]), r[0]) for r in rows)[:5]]
+    assert seen[0] < 100
+
+
+def test_boxes_that_the_newest_postings_fill_do_not_lay_out_the_others(spark, monkeypatch):
+    rows, df = _dense(spark)
+    seen, plain = [], batch.viewport_candidates
+    monkeypatch.setattr(batch, "viewport_candidates", lambda jobs, classes, columns: (seen.append((jobs.count(), classes.count())), plain(jobs, classes, columns))[1])
+    vps = [(1, -123.3, 49.1, -123.0, 49.3, 12, None, None, None, 5), (2, -123.3, 49.1, -123.0, 49.3, 12, None, None, "retail", 200)]
+    got = batch.viewport_batch(df, spark.createDataFrame(vps, VP), ["id"]).collect()
+    assert sorted((r["q_id"], r["rn"], r["id"]) for r in got) == [(1, i + 1, i) for i in range(5)] + [(2, i + 1, i) for i in range(200)]
+    assert len(seen) == 2 and seen[0][0] < 200 and seen[1][0] < 1000 and seen[1][1] == 1
+    seen.clear()
+    vps.append((3, -123.3, 49.1, -123.0, 49.3, 12, 99, None, None, 5))  # nothing matches: only this one meets all postings
+    assert batch.viewport_batch(df, spark.createDataFrame(vps, VP), ["id"]).count() == 205
+    assert seen[-1] == (4000, 1)
+
+
+def test_grams_looked_for_one_by_one_or_met(spark, monkeypatch):
+    _, df = _dense(spark, 300)
+    classes, _ = pyramid.classes(batch.accepted(batch.check_viewports(spark.createDataFrame(
+        [(q, -123.3, 49.1, -123.0, 49.3, 12, None, None, None, 5, t) for q, t in enumerate(["urgent", "COOK", "o", "co", "none"])], VP + ", text STRING"))), batch.BOX)
+    found = []
+    for few in (32, 0):
+        monkeypatch.setattr(pyramid, "FEW_GRAMS", few)
+        slim, led = pyramid.led_by_text(df, classes)
+        found.append((sorted(map(tuple, slim.select("id", "gram").collect())), sorted(map(tuple, led.select("text", "gram").collect()))))
+    assert found[0] == found[1] and len(found[0][0]) > 400

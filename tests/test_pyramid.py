@@ -237,3 +237,37 @@ def test_grams_looked_for_one_by_one_or_met(spark, monkeypatch):
         slim, led = pyramid.led_by_text(df, classes)
         found.append((sorted(map(tuple, slim.select("id", "gram").collect())), sorted(map(tuple, led.select("text", "gram").collect()))))
     assert found[0] == found[1] and len(found[0][0]) > 400
+
+
+def test_grid_sums_do_not_grow_with_postings_kinds_and_zooms(spark, monkeypatch):
+    """Clusters against brute force; what meets the classes is far less than the postings, though all have pay of their own."""
+    rng = random.Random(9)
+    rows, _ = _dense(spark, 6000)
+    rows = [(*r[:3], rng.choice([None, 10 + r[0] % 3000]), rng.choice([None, 20 + r[0] % 2500]), *r[5:9], rng.choice(["retail", "other", None]), *r[10:]) for r in rows]
+    df = spark.createDataFrame(rows, JOB).repartition(4)
+    vps = [(q, -123.2, 49.2, -123.175, 49.215, 6 + q % 9, rng.choice([None, 700, 1500]), rng.choice([None, 900, 2000]), rng.choice([None, "", "retail"]), None) for q in range(36)]
+    want = {}
+    for q, w, s, e, n, z, wmin, wmax, cat, _ in vps:
+        size = 70.3125 / 2**z
+        for j in rows:
+            if w <= j[6] <= e and s <= j[5] <= n and passes(j, wmin, wmax, cat):
+                want.setdefault((q, f"{z}/{int((j[6] + 180) // size)}/{int((j[5] + 90) // size)}"), []).append(j)
+    seen = []
+    for name in ("met", "met_points"):
+        plain = getattr(pyramid, name)
+        monkeypatch.setattr(pyramid, name, lambda cells, counted, plain=plain: (seen.append(counted.count()), plain(cells, counted))[1])
+    for few in (32, 1):  # limits told apart, and more of them than are
+        monkeypatch.setattr(pyramid, "FEW_VALUES", few)
+        got = {(r["q_id"], r["cluster_id"]): r for r in cluster.clusters_grid(df, spark.createDataFrame(vps, VP)).collect()}
+        assert {k: r["count"] for k, r in got.items()} == {k: len(v) for k, v in want.items()}
+        assert all(abs(r["center_lng"] - sum(j[6] for j in want[k]) / len(want[k])) < 1e-9 and r["min_lat"] == min(j[5] for j in want[k]) for k, r in got.items())
+    # before, a point came once per kind
+    assert sum(seen[:2]) < len(rows), seen
+
+
+def test_postings_are_told_apart_by_what_is_asked(spark):
+    rows, df = jobs(spark, 300)
+    asked = spark.createDataFrame([(q, -180.0, -90.0, 180.0, 90.0, 5, wmin, wmax, cat, None) for q, (wmin, wmax, cat) in enumerate([(18, None, "retail"), (None, 25, None), (15, 30, "")])], VP)
+    classes, _ = pyramid.classes(batch.accepted(batch.check_viewports(asked)), batch.BOX)
+    got = {tuple(r) for r in pyramid.as_asked(df, classes).select("wage_min", "wage_max", "category").distinct().collect()}
+    assert got <= {(a, b, c) for a in (None, 15, 18) for b in (None, 25, 30) for c in (None, "retail")} and len(got) > 4

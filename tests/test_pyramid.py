@@ -271,3 +271,39 @@ def test_postings_are_told_apart_by_what_is_asked(spark):
     classes, _ = pyramid.classes(batch.accepted(batch.check_viewports(asked)), batch.BOX)
     got = {tuple(r) for r in pyramid.as_asked(df, classes).select("wage_min", "wage_max", "category").distinct().collect()}
     assert got <= {(a, b, c) for a in (None, 15, 18) for b in (None, 25, 30) for c in (None, "retail")} and len(got) > 4
+
+
+def _tops(df):
+    """Positions of the last step that makes rows of lists and of the last join."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.index("inline("), plan.index("Join ")
+
+
+def test_pairs_of_requests_and_postings_are_not_dealt_out(spark, monkeypatch):
+    """Many equal areas on a hot point: they become rows in the tasks that met the postings, which are many."""
+    monkeypatch.setattr(pyramid, "PAIRS_TOGETHER", 500)
+    monkeypatch.setattr(pyramid, "TOGETHER", 8)
+    rows, df = jobs(spark, 400, hot=300)
+    hot = [(q, -123.13, 49.27, -123.11, 49.29, 12, None, None, "retail" if q % 2 else None, None) for q in range(90)]
+    hot += [(None, *hot[0][1:]), (None, *hot[0][1:]), (3, *hot[3][1:])]  # ids may be null or come twice
+    asked = spark.createDataFrame(hot, VP)
+
+    def hits(v):
+        return [j for j in rows if v[1] <= j[6] <= v[3] and v[2] <= j[5] <= v[4] and passes(j, *v[6:9])]
+
+    found = batch.area_alerts(df, asked, [F.col("source_url"), F.round("lat", 1).alias("at")])
+    by_list, by_join = _tops(found)
+    assert by_list < by_join  # the pairs go nowhere after they were formed
+    assert found.columns == ["q_id", "source_url", "at"]
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(((v[0], j[7], round(j[5], 1)) for v in hot for j in hits(v)), key=key)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+
+    opened = [(*v, f"12/{int((-123.1207 + 180) // (70.3125 / 4096))}/{int((49.2827 + 90) // (70.3125 / 4096))}") for v in hot]
+    found = cluster.children_of(df, spark.createDataFrame(opened, VP + ", cluster_id STRING"))
+    by_list, by_join = _tops(found)
+    assert by_list < by_join
+    size = 70.3125 / 4096
+    want = [(o[0], o[-1], j[0]) for o in opened for j in hits(o) if f"12/{int((j[6] + 180) // size)}/{int((j[5] + 90) // size)}" == o[-1]]
+    assert sorted(map(tuple, found.select("q_id", "cluster_id", "child_id").collect()), key=key) == sorted(want, key=key) and len(want) > 5000
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 3
